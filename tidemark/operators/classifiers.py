@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.naive_bayes import decide
 from tidemark.operators.split import hash_bucket
+from tidemark.session import in_parallel
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -85,7 +86,7 @@ def fit_svm(train: DataFrame, features: str) -> Scorer:
 
 
 def fit_calibrated_svm(
-    train: DataFrame, features: str, folds: int = 5, seed: int = 17, key: str = "doc_id"
+    train: DataFrame, features: str, folds: int = 5, seed: int = 17, key: str = "doc_id", threads: int = 5
 ) -> Scorer:
     """Mean of ``folds`` linear SVMs, each calibrated on the fold it was not trained on.
 
@@ -97,22 +98,29 @@ def fit_calibrated_svm(
     parted = train.withColumn("__fold", hash_bucket(F.col(key), folds, seed))
     sizes = {(r["__fold"], r["label"]): r["n"] for r in parted.groupBy("__fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = {c: sum(n for (_, label), n in sizes.items() if label == c) for c in (0, 1)}
-    fitted: list[tuple[object, float, float]] = []
-    for f in range(folds):
+
+    def one(f: int) -> tuple[object, float, float] | None:
         held = {c: sizes.get((f, c), 0) for c in (0, 1)}
         rest = {c: total[c] - held[c] for c in (0, 1)}
         if min(rest.values()) == 0 or sum(held.values()) == 0:
-            continue
+            return None
         model = svm_model(parted.filter(F.col("__fold") != f), features, sum(rest.values()), str(f))
         margin = F.get(vector_to_array(f"__raw{f}"), F.lit(1))
         target = F.when(F.col("label") == 1, (held[1] + 1) / (held[1] + 2)).otherwise(1 / (held[0] + 2))
-        soft = (
-            model.transform(parted.filter(F.col("__fold") == f))
-            .select(array_to_vector(F.array(margin)).alias("m"), target.alias("t"))
-            .select("m", F.inline(F.array(F.struct(F.lit(1.0).alias("y"), F.col("t").alias("w")), F.struct(F.lit(0.0).alias("y"), (1 - F.col("t")).alias("w")))))
+        soft = model.transform(parted.filter(F.col("__fold") == f)).select(
+            array_to_vector(F.array(margin)).alias("m"),
+            F.inline(
+                F.array(
+                    F.struct(F.lit(1.0).alias("y"), target.alias("w")),
+                    F.struct(F.lit(0.0).alias("y"), (1 - target).alias("w")),
+                )
+            ),
         )
         curve = LogisticRegression(featuresCol="m", labelCol="y", weightCol="w", regParam=0.0, maxIter=100).fit(soft)
-        fitted.append((model, float(curve.coefficients[0]), float(curve.intercept)))
+        return model, float(curve.coefficients[0]), float(curve.intercept)
+
+    jobs = [lambda f=f: one(f) for f in range(folds)]
+    fitted = [m for m in in_parallel(train.sparkSession, jobs, threads) if m]
     if not fitted:
         raise ValueError("both classes are needed in the training part of at least one fold")
 
@@ -187,10 +195,10 @@ def fit_mlp(
 
 
 def fit_regression(train: DataFrame, features: str, target: str, iterations: int = 100) -> Scorer:
-    """Robust linear regression (Huber loss) of a real target; adds ``y_hat``."""
+    """Ridge regression of a real target, penalty 1/n on the mean squared error; adds ``y_hat``."""
     n = train.count()
     model = LinearRegression(
-        loss="huber", maxIter=iterations, regParam=1.0 / n, standardization=False,
+        maxIter=iterations, regParam=1.0 / n, elasticNetParam=0.0, standardization=False,
         featuresCol=features, labelCol=target, predictionCol="y_hat",
     ).fit(train.select(features, target))
     return lambda df: model.transform(df)

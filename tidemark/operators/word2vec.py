@@ -30,9 +30,11 @@ def train_word2vec(
     known = words.groupBy("word").count().filter(F.col("count") >= min_count).count()
     if known * size >= MAX_FLOATS:
         raise ValueError(f"{known} words of {size} floats do not fit one model; raise min_count above {min_count}")
-    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if partitions is None:
+        cores = docs.sparkSession.sparkContext.defaultParallelism
+        partitions = max(1, min(cores, known // 10_000))
     model = Word2Vec(
-        vectorSize=size, windowSize=window, minCount=min_count, numPartitions=partitions or cores,
+        vectorSize=size, windowSize=window, minCount=min_count, numPartitions=partitions,
         maxIter=iterations, seed=seed, inputCol="tokens", outputCol="__vector",
     ).fit(docs.select("tokens"))
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))

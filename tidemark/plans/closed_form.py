@@ -13,7 +13,7 @@ from tidemark.operators.lexicon import lexicon_polarity
 from tidemark.operators.naive_bayes import fold_sizes, fold_terms, nb_model, nb_predict
 from tidemark.operators.split import Cell, fold_table, in_role
 from tidemark.operators.terms import smooth_idf, vocabulary
-from tidemark.plans.prepare import in_parallel
+from tidemark.session import in_parallel
 
 PREDICTION = ("fold", "domain", "doc_id", "feature", "model", "y_true", "y_pred", "score")
 

@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping, Sequence
-from multiprocessing.pool import ThreadPool
-from typing import TypeVar
+from collections.abc import Iterable, Mapping
 
-from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.stoplists import GENERAL, PROFILES
 from tidemark.functions.text import clean_tokens, clean_tokens_by_profile
 from tidemark.operators.split import hash_part
 
-R = TypeVar("R")
-
 
 def prepare(
     corpus: DataFrame,
@@ -34,11 +29,3 @@ def prepare(
     else:
         tokens = clean_tokens(raw, general)
     return corpus.select("domain", "doc_id", "label", hash_part(F.col("doc_id"), seed).alias("part"), tokens.alias("tokens"))
-
-
-def in_parallel(spark: SparkSession, jobs: Sequence[Callable[[], R]], threads: int = 4) -> list[R]:
-    """Run independent fits side by side; Spark shares the executors among their jobs."""
-    if len(jobs) <= 1:
-        return [job() for job in jobs]
-    with ThreadPool(min(threads, len(jobs))) as pool:
-        return pool.map(lambda job: inheritable_thread_target(spark)(job)(), jobs)

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
+from typing import TypeVar
 
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+R = TypeVar("R")
+
 # A side of a join is broadcast only up to this many rows (checked or known beforehand).
 BROADCAST_ROWS = 200_000
 
@@ -91,3 +97,21 @@ def spread(df: DataFrame, source: DataFrame, *keys: str) -> DataFrame:
     if source.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys)
+
+
+def fit_partitions(df: DataFrame, rows: int, per_task: int = 20_000) -> DataFrame:
+    """Merge partitions that are too small to be worth a task in every optimizer step.
+
+    Iterative fits run one job per step, so on small inputs the task overhead is all there
+    is. Partitions that already hold ``per_task`` rows or more are never merged.
+    """
+    wanted = max(1, -(-rows // per_task))
+    return df.coalesce(wanted) if df.rdd.getNumPartitions() > wanted else df
+
+
+def in_parallel(spark: SparkSession, jobs: Sequence[Callable[[], R]], threads: int = 4) -> list[R]:
+    """Run independent fits side by side; Spark shares the executors among their jobs."""
+    if len(jobs) <= 1:
+        return [job() for job in jobs]
+    with ThreadPool(min(threads, len(jobs))) as pool:
+        return pool.map(lambda job: inheritable_thread_target(spark)(job)(), jobs)
