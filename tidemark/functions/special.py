@@ -29,7 +29,7 @@ def chi2_tail(x: Column, dof: Column, steps: int = 400) -> Column:
     log_gamma = F.aggregate(factors, F.lit(0.0), lambda acc, i: acc + F.log(a - i))
     log_gamma = log_gamma + F.when(half > 0, F.lit(0.5 * math.log(math.pi))).otherwise(F.lit(0.0))
     lower = F.exp(a * F.log(z) - z - log_gamma) * series
-    return F.when(x <= 0, F.lit(1.0)).otherwise(F.greatest(1 - lower, F.lit(0.0)))
+    return F.when(x <= 0, F.lit(1.0)).when(x > 0, F.greatest(1 - lower, F.lit(0.0)))
 
 
 def normal_cdf(x: Column, steps: int = 120) -> Column:

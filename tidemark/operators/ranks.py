@@ -58,7 +58,7 @@ def friedman_test(
     return tested.select("slice", "k", "n", "statistic", "p", (F.col("p") <= alpha).alias("reject"))
 
 
-def studentized_range_tail(pairs: DataFrame, q: str, k: str, out: str, steps: int = 320) -> DataFrame:
+def studentized_range_tail(pairs: DataFrame, q: str, k: str, out: str, steps: int = 160) -> DataFrame:
     """Add P(range of k standard normals > q).
 
     The distribution function is k times the integral of phi(z) (Phi(z) - Phi(z - q))^(k-1).
@@ -95,16 +95,25 @@ def nemenyi_pairs(
     other = means.select("slice", F.col("treatment").alias("method_b"), F.col("mean_rank").alias("mean_b"))
     k, n = F.col("k"), F.col("n")
     gap = F.abs(F.col("mean_rank") - F.col("mean_b"))
-    pairs = means.join(other, "slice").select(
-        "slice",
-        F.col("treatment").alias("method_a"),
-        "method_b",
-        "k",
-        gap.alias("rank_gap"),
-        (gap / F.sqrt(k * (k + 1) / (6 * n)) * math.sqrt(2)).alias("q"),
+    pairs = (
+        means.join(other, "slice")
+        .filter(F.col("treatment") <= F.col("method_b"))
+        .select(
+            "slice",
+            F.col("treatment").alias("method_a"),
+            "method_b",
+            "k",
+            gap.alias("rank_gap"),
+            (gap / F.sqrt(k * (k + 1) / (6 * n)) * math.sqrt(2)).alias("q"),
+        )
     )
     tested = studentized_range_tail(pairs, "q", "k", "p")
-    return tested.select("slice", "method_a", "method_b", "rank_gap", "q", "p", (F.col("p") <= alpha).alias("differs"))
+    a, b = F.col("method_a"), F.col("method_b")
+    there = F.struct(a.alias("method_a"), b.alias("method_b"))
+    back = F.struct(b.alias("method_a"), a.alias("method_b"))
+    both = F.when(a == b, F.array(there)).otherwise(F.array(there, back))
+    rows = tested.select("slice", F.inline(both), "rank_gap", "q", "p")
+    return rows.withColumn("differs", F.col("p") <= alpha)
 
 
 def nemenyi_matrix(pairs: DataFrame, methods: Sequence[str]) -> DataFrame:

@@ -32,13 +32,16 @@ def fold_vocabularies(docs: DataFrame, cells: Sequence[Cell], size: int = 1000)
     At most ``size`` terms per fold reach the driver.
     """
     folds = fold_table(docs.sparkSession, cells)
-    sizes = {r["fold"]: {0: r["n_0"], 1: r["n_1"]} for r in fold_sizes(docs, folds).collect()}
     best = vocabulary(fold_terms(docs, folds), size, ["fold"])
     counted = best.join(F.broadcast(fold_sizes(docs, folds)), "fold")
-    rows = counted.select("fold", "rank", "term", smooth_idf(F.col("df"), F.col("n")).alias("idf")).collect()
+    idf = smooth_idf(F.col("df"), F.col("n")).alias("idf")
+    rows = counted.select("fold", "rank", "term", idf, "n_0", "n_1").collect()
     out = {}
-    for fold, counts in sizes.items():
+    for fold in sorted({c[0] for c in cells}):
         mine = sorted((r for r in rows if r["fold"] == fold), key=lambda r: r["rank"])
+        if not mine:
+            raise ValueError(f"fold {fold}: the training documents hold no term")
+        counts = {0: mine[0]["n_0"], 1: mine[0]["n_1"]}
         out[fold] = (Vocabulary([r["term"] for r in mine], [r["idf"] for r in mine]), counts)
     return out
 

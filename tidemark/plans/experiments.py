@@ -245,7 +245,8 @@ def leave_one_out_grid(
     docs: DataFrame, folds: Mapping[str, Sequence[Cell]], settings: Settings = Settings()
 ) -> tuple[DataFrame, DataFrame]:
     """Predictions (with hard votes) and metrics of the whole grid over several folds."""
-    parts = [with_votes(classify(fold_data(docs, cells, settings))) for cells in folds.values()]
+    jobs = [lambda c=c: with_votes(classify(fold_data(docs, c, settings))) for c in folds.values()]
+    parts = in_parallel(docs.sparkSession, jobs, settings.threads)
     pred = written(_union(parts), "predictions")
     return pred, metrics_table(pred)
 
