@@ -35,12 +35,13 @@ def _as_double(train: DataFrame, *keep: str) -> DataFrame:
     return train.select(*keep, F.col("label").cast("double").alias("__y"))
 
 
-def logistic_model(train: DataFrame, features: str, iterations: int = 1000):
+def logistic_model(train: DataFrame, features: str, iterations: int = 1000, tolerance: float = 1e-5):
     """L2 logistic regression. A penalty of 1/2 |w|^2 on the sum of the losses equals
     ``regParam`` = 1/n on their mean; features are not rescaled, the intercept is free."""
     n = train.count()
     return LogisticRegression(
         maxIter=iterations,
+        tol=tolerance,
         regParam=1.0 / n,
         elasticNetParam=0.0,
         standardization=False,
@@ -49,8 +50,8 @@ def logistic_model(train: DataFrame, features: str, iterations: int = 1000):
     ).fit(_as_double(train, features))
 
 
-def fit_logistic(train: DataFrame, features: str, iterations: int = 1000) -> Scorer:
-    model = logistic_model(train, features, iterations)
+def fit_logistic(train: DataFrame, features: str, iterations: int = 1000, tolerance: float = 1e-5) -> Scorer:
+    model = logistic_model(train, features, iterations, tolerance)
     model.setRawPredictionCol("__raw").setProbabilityCol("__prob").setPredictionCol("__pred")
 
     def score(df: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ R = TypeVar("R")
 # A side of a join is broadcast only up to this many rows (checked or known beforehand).
 BROADCAST_ROWS = 200_000
 
+_LOCAL_SCRATCH: dict[str, str] = {}
+
 
 def local_session(cpus: int | str = "*", app: str = "tidemark", memory: str = "8g") -> SparkSession:
     """Session for tests and benchmarks; on a cluster the caller passes its own."""
@@ -46,9 +48,10 @@ def scratch_root(spark: SparkSession) -> str:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_SCRATCH:
+        _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="tidemark-")
+    return _LOCAL_SCRATCH[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
