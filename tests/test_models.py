@@ -128,7 +128,7 @@ def test_word_vectors(docs):
 def test_grid_learns_the_planted_words(spark, docs):
     lexicon = spark.createDataFrame([("fine", 1.0), ("poor", -1.0)], "word string, polarity double")
     cells = [c for c in single_cells(["a"])]
-    data = X.fold_data(docs, cells, X.Settings(vocabulary=30, vector_size=8, window=3, word2vec_partitions=1), lexicon, 2)
+    data = X.fold_data(docs, cells, X.Settings(vocabulary=30, vector_size=8, window=3, word2vec_partitions=1, svm_folds=2), lexicon, 2)
     n_test = docs.filter("domain = 'a' AND part = 'test'").count()
     pred = written(X.with_votes(X.classify(data)), "pred")
     assert pred.groupBy("feature", "model").count().filter(F.col("count") != n_test).count() == 0

@@ -109,13 +109,17 @@ def roc_auc(pred: DataFrame, by: Sequence[str] = RUN, positive: int = 1, slices:
     Rows are first reduced to counts per distinct score. The running count of negatives is
     then taken in ``slices`` score ranges: within a range by a window, and across ranges by
     their totals. No task sorts more than its range, however many distinct scores there are.
-    The range bounds are approximate quantiles; they steer the load and not the result. They
-    are written down so that a task that runs again uses the same bounds.
+    The range bounds are approximate quantiles; they steer the load and not the result. Counts
+    and bounds are written down: the predictions are computed once, and a task that runs again
+    uses the same bounds.
     """
     is_pos = F.col("y_true") == positive
-    counts = pred.groupBy(*by, "score").agg(
-        F.sum(F.when(is_pos, 1.0).otherwise(0.0)).alias("pos"),
-        F.sum(F.when(is_pos, 0.0).otherwise(1.0)).alias("neg"),
+    counts = written(
+        pred.groupBy(*by, "score").agg(
+            F.sum(F.when(is_pos, 1.0).otherwise(0.0)).alias("pos"),
+            F.sum(F.when(is_pos, 0.0).otherwise(1.0)).alias("neg"),
+        ),
+        "score-counts",
     )
     cuts = F.array(*[F.lit(i / slices) for i in range(1, slices)])
     bounds = written(counts.groupBy(*by).agg(F.percentile_approx("score", cuts, F.lit(10_000)).alias("cuts")), "cuts")

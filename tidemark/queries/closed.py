@@ -35,6 +35,7 @@ from tidemark.plans.experiments import model_grid as grid_of
 from tidemark.queries.inputs import (
     LEXICON,
     MODELS,
+    NUDGE,
     PROFILE,
     VOCABULARY,
     chats,
@@ -227,13 +228,13 @@ def doc_vectors_pooled(spark: SparkSession, folder: str) -> DataFrame:
 def lexicon_polarity(spark: SparkSession, folder: str) -> DataFrame:
     words = lexicon(labelled_terms(spark, folder))
     scored = polarity_of(document_terms(tokenized(spark, folder)), words, bound=LEXICON)
-    return scored.select("doc_id", r6(F.col("polarity")).alias("polarity"))
+    return scored.select("doc_id", r6(F.col("polarity") + NUDGE).alias("polarity"))
 
 
 def split_polarity(spark: SparkSession, folder: str) -> DataFrame:
     docs = labelled_terms(spark, folder)
     scored = polarity_of(docs, lexicon(docs), ("doc_id", "part"), LEXICON)
-    return scored.select("doc_id", "part", r6(F.col("polarity")).alias("polarity"))
+    return scored.select("doc_id", "part", r6(F.col("polarity") + NUDGE).alias("polarity"))
 
 
 # Models and experiments

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tidemark.functions.stoplists import GENERAL, PROFILES
 from tidemark.functions.text import NOT_LETTER_OR_SPACE, TAG
-from tidemark.queries.inputs import LEXICON, MODELS, PROFILE, VOCABULARY
+from tidemark.queries.inputs import LEXICON, MODELS, NUDGE, PROFILE, VOCABULARY
 
 
 def _list(words) -> str:
@@ -264,10 +264,10 @@ ORACLES: dict[str, str] = {
             SELECT doc_id, CAST(dim AS INTEGER) AS dim, sum(tf * v) AS total, sum(tf) AS hits FROM counts JOIN (
                 SELECT term, unnest(range(64)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v
                 FROM vocab JOIN embeddings ON vec_id = rank - 1) USING (term) GROUP BY ALL) USING (doc_id, dim)"""),
-    "lexicon_polarity": _with("alldocs lexicon", f"""SELECT doc_id, {_r6('coalesce(avg(polarity), 0.0)')} AS polarity
+    "lexicon_polarity": _with("alldocs lexicon", f"""SELECT doc_id, {_r6(f'coalesce(avg(polarity), 0.0) + {NUDGE}')} AS polarity
         FROM alldocs d LEFT JOIN (SELECT doc_id, polarity FROM (
             SELECT doc_id, unnest(tokens) AS term FROM alldocs) JOIN lexicon USING (term)) USING (doc_id) GROUP BY doc_id"""),
-    "split_polarity": _with("doc_polarity", f"SELECT doc_id, part, {_r6('polarity')} AS polarity FROM doc_polarity"),
+    "split_polarity": _with("doc_polarity", f"SELECT doc_id, part, {_r6(f'polarity + {NUDGE}')} AS polarity FROM doc_polarity"),
     "nb_model": _with("model", f"SELECT fold, term, {_r6('lp_0')} AS lp_0, {_r6('lp_1')} AS lp_1 FROM model", "single"),
     "nb_predict": _with("bow_pred", f"SELECT fold, doc_id, y_true, y_pred, {_r6('score')} AS score FROM bow_pred", "single"),
     "influential_words": _with("model", f"""SELECT * FROM (
