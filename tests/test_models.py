@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from tidemark.operators.classifiers import fit_calibrated_svm, fit_logistic, fit_mlp, fit_naive_bayes, fit_regression, fit_svm, logistic_model
+from tidemark.operators.classifiers import fit_calibrated_svm, fit_logistic, fit_mlp, fit_naive_bayes, fit_regression, fit_svm, logistic_model, svm_margin
 from tidemark.operators.metrics import metrics_table
 from tidemark.operators.naive_bayes import fold_sizes, fold_terms, nb_model, nb_predict
 from tidemark.operators.split import fold_table, single_cells
@@ -54,6 +54,19 @@ def test_logistic_reaches_the_penalized_optimum(dense):
     assert np.r_[model.coefficients.toArray(), model.intercept] == pytest.approx(w, abs=1e-3)
 
 
+def test_svm_reaches_the_squared_hinge_optimum(dense):
+    x, y, df = dense
+    design, sign, w = np.c_[x, np.ones(len(x))], 2 * y - 1, np.zeros(4)
+    penalty = np.diag([0.5, 0.5, 0.5, 0.0])
+    for _ in range(50):
+        near = sign * (design @ w) < 1
+        w = np.linalg.solve(design[near].T @ design[near] + penalty, design[near].T @ sign[near])
+    margin = svm_margin(df, "x", {0: int((y == 0).sum()), 1: int(y.sum())}, tolerance=1e-10)
+    assert margin.coefficients == pytest.approx(w[:3], abs=1e-4)
+    got = {r["doc_id"]: r["score"] for r in margin.add(df, "score").collect()}
+    assert [got[i] for i in range(len(x))] == pytest.approx(list(design @ w), abs=1e-3)
+
+
 def test_scores_are_probabilities_and_beat_the_majority(dense):
     _, y, df = dense
     floor = max(y.mean(), 1 - y.mean())
