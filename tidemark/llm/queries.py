@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing
+from tidemark.llm import mixing, records
 from tidemark.llm.common import table
 
 
@@ -21,6 +21,12 @@ def op4_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
     ).orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
+def op5_token_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of the token records, read back from the shards."""
+    return records.encoded_records(spark, table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_curriculum_mix": op4_curriculum_mix,
+    "op5_token_records": op5_token_records,
 }
