@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, records
+from tidemark.llm import licenses, mixing, records, secrets
 from tidemark.llm.common import table
 
 
@@ -26,7 +26,42 @@ def op5_token_records(spark: SparkSession, folder: str) -> DataFrame:
     return records.encoded_records(spark, table(spark, folder, "documents"))
 
 
+def op8_secret_ownership(spark: SparkSession, folder: str) -> DataFrame:
+    """Credential spans; a source is an owner, its documents of one language a repository."""
+    found = secrets.find_secrets(table(spark, folder, "documents"), "source", ["source", "lang"])
+    kinds = {f"n_{k}": i for i, k in enumerate(secrets.KINDS[: secrets.BASE])}
+    count = {n: F.size(F.filter("found", lambda s, i=i: s["kind"] == i)).cast("long") for n, i in kinds.items()}
+    base = F.filter("found", lambda s: s["kind"] < secrets.BASE)
+    return found.select(
+        "doc_id", *[c.alias(n) for n, c in count.items()],
+        F.sha2(secrets.listing(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.listing(F.col("found")).alias("spans"),
+        F.size(F.filter("found", lambda s: s["live"])).cast("long").alias("n_live"),
+        F.size(F.filter("found", lambda s: ~s["live"])).cast("long").alias("n_example"),
+    )
+
+
+def op2_license_notices(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact phrases and fuzzy notices of every document; the score is the best match's share of unedited text."""
+    found = licenses.scan_licenses(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["exact"])
+
+    def labels(spans):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+
+    quality = F.transform("spans", lambda s: 1 - s["edits"] / s["length"])
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"),
+        F.array_min(base["first"]).alias("first_word"), F.array_max(base["first"]).alias("last_word"),
+        labels(base).alias("base_labels"), labels(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(quality), F.lit(0.0)).alias("score"),
+        F.size("spans").cast("long").alias("n_spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_license_notices": op2_license_notices,
     "op4_curriculum_mix": op4_curriculum_mix,
     "op5_token_records": op5_token_records,
+    "op8_secret_ownership": op8_secret_ownership,
 }
