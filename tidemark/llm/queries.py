@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import licenses, mixing, records, secrets
+from tidemark.llm import licenses, mixing, records, secrets, toxicity
 from tidemark.llm.common import table
 
 
@@ -59,8 +59,29 @@ def op2_license_notices(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def held_out():
+    """A fifth of all documents, whose labels are never learned from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+def toxicity_model(spark: SparkSession, folder: str, docs: DataFrame) -> toxicity.Model:
+    labels = table(spark, folder, "labels").filter(~held_out()).select("doc_id", F.col("toxic").alias("label"))
+    return toxicity.fit(docs, labels)
+
+
+def op3_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = toxicity.score_documents(docs, toxicity_model(spark, folder, docs))
+    return scored.select(
+        "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("toxicity.score").alias("score"),
+        (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"),
+        F.size("toxicity.segments").alias("n_segments"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_notices": op2_license_notices,
+    "op3_toxic_segments": op3_toxic_segments,
     "op4_curriculum_mix": op4_curriculum_mix,
     "op5_token_records": op5_token_records,
     "op8_secret_ownership": op8_secret_ownership,
