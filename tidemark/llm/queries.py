@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import licenses, mixing, records, secrets, toxicity
+from tidemark.llm import crosspoly, licenses, mixing, records, secrets, toxicity
 from tidemark.llm.common import table
 
 
@@ -79,10 +79,17 @@ def op3_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_cross_polytope(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return crosspoly.nearest(vectors, F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_notices": op2_license_notices,
     "op3_toxic_segments": op3_toxic_segments,
     "op4_curriculum_mix": op4_curriculum_mix,
     "op5_token_records": op5_token_records,
+    "op6_cross_polytope": op6_cross_polytope,
     "op8_secret_ownership": op8_secret_ownership,
 }
