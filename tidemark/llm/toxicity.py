@@ -32,6 +32,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import Scratch
+
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7, 8)
 
@@ -218,11 +220,21 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
     known = labels.filter("label IN (0, 1)").select("doc_id", F.col("label").cast("int").alias("label"))
     found = known.count()
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, rows / max(found, 1)))
+    # At most about ``rows`` keys: a broadcast of bounded size, so that no text is shuffled.
+    chosen = F.broadcast(known.filter(share))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # Equal texts are one piece of evidence, however often they were copied.
-    train = texts.join(known.filter(share), "doc_id").select("text", "label").dropDuplicates()
+    spaces = F.length("text") - F.length(F.translate("text", " ", "")) + 1
+    kept = Scratch(docs.sparkSession).write(
+        texts.join(chosen, "doc_id").groupBy(F.xxhash64("text"), F.length("text"), "label").agg(
+            F.min("doc_id").alias("doc_id"), F.first(spaces).alias("words")
+        ).select("doc_id", "label", "words"),
+        "labelled",
+    )
+    train = texts.join(F.broadcast(kept), "doc_id").select("text", "label")
     counted = count_features(train)
-    sizes = Counter({r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()})
+    totals = {r["label"]: r for r in kept.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("words").alias("words")).collect()}
+    sizes = {label: totals[label]["n"] if label in totals else 0 for label in (0, 1)}
     if not sizes[0] or not sizes[1]:
         return Model()
     # At most 1 / floor as many features as labelled toxic words come to the driver, nearly all of
@@ -236,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
     spread = {r["feature"]: r["documents"] for r in count_corpus(docs, frozenset(evidence)).collect()}
     everything = max(spread.get("", 0), 1)
     scores, rates = {}, []
-    words = max(mean_words(train), 1.0)
+    words = max(totals[0]["words"], 1.0)
     for name, (toxic, clean) in evidence.items():
         prior = PRIOR_FLOOR + PRIOR_WEIGHT * spread.get(name, 0) / everything
         score = lower_log_odds(toxic, clean, sizes[1], sizes[0], prior)
@@ -249,11 +261,6 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
     return Model(scores, decay, decay * sum(r * s for r, s in rates))
 
 
-def mean_words(texts: DataFrame) -> float:
-    spaces = F.length("text") - F.length(F.translate("text", " ", "")) + 1
-    return texts.agg(F.avg(spaces)).first()[0] or 1.0
-
-
 RESULT = "score double, segments array<struct<first:int,stop:int,score:double,expected:double>>"
 
 
