@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import crosspoly, licenses, mixing, records, secrets, toxicity
-from tidemark.llm.common import table
+from tidemark.llm import crosspoly, licenses, mixing, records, rollups, secrets, toxicity
+from tidemark.llm.common import SPACED_WORD, Scratch, table
+from tidemark.session import scratch_path
 
 
 def op4_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,6 +86,32 @@ def op6_cross_polytope(spark: SparkSession, folder: str) -> DataFrame:
     return crosspoly.nearest(vectors, F.col("vec_id") % 50 == 0)
 
 
+# Two versions of a word tokenizer; the first was shipped with a fault, counting marks as words.
+MARKED, WORDS, PIECES = SPACED_WORD, r"[0-9A-Za-z\x{80}-\x{10FFFF}]+", r"[0-9A-Za-z\x{80}-\x{10FFFF}]+|[!-/:-@\[-`{-~]"
+
+
+def op9_token_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals after four batches: insert all, insert a second tokenizer, revise the first, drop copies."""
+    docs = table(spark, folder, "documents")
+    counts = rollups.pattern_counts(F.col("text"), {"marked": MARKED, "words-1": WORDS, "pieces-2": PIECES})
+    content = F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("content")
+    counted = Scratch(spark).write(docs.select("doc_id", "source", "lang", content, *counts), "token-counts")
+    rollup = rollups.Rollup(spark, scratch_path(spark, "rollup"))
+    first = counted.select("source", "lang", F.lit("words-1").alias("tokenizer"), F.col("marked").alias("tokens"))
+    rollup.commit("1-insert", rollups.inserted(first))
+    rollup.commit("2-version", rollups.inserted(rollups.by_tokenizer(counted, ["pieces-2"])))
+    fixed = counted.select(
+        "source", "lang", F.lit("words-1").alias("tokenizer"),
+        F.col("marked").alias("old_tokens"), F.col("words-1").alias("new_tokens"),
+    )
+    rollup.commit("3-revise", rollups.revised(fixed))
+    rollup.compact()
+    out, back = rollups.distinct_only(counted, "content", ["words-1", "pieces-2"])
+    rollup.commit("4-copies", out.unionByName(back))
+    rollup.commit("3-revise", rollups.revised(fixed))  # delivered twice, counted once
+    return rollup.totals()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_notices": op2_license_notices,
     "op3_toxic_segments": op3_toxic_segments,
@@ -92,4 +119,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_records": op5_token_records,
     "op6_cross_polytope": op6_cross_polytope,
     "op8_secret_ownership": op8_secret_ownership,
+    "op9_token_rollup": op9_token_rollup,
 }

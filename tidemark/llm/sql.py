@@ -37,4 +37,19 @@ SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken,
 FROM shares
 """
 
-ORACLES: dict[str, str] = {"op4_curriculum_mix": OP4}
+OP9 = r"""
+WITH kept AS (
+  SELECT source, lang, text FROM (
+    SELECT *, row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id NULLS FIRST, source NULLS FIRST,
+                                 lang NULLS FIRST) AS r FROM documents) WHERE r = 1),
+counts AS (
+  SELECT source, lang, 'words-1' AS tokenizer,
+         coalesce(len(regexp_extract_all(text, '[0-9A-Za-z\x{80}-\x{10FFFF}]+')), 0) AS n FROM kept
+  UNION ALL
+  SELECT source, lang, 'pieces-2',
+         coalesce(len(regexp_extract_all(text, '[0-9A-Za-z\x{80}-\x{10FFFF}]+|[!-/:-@\[-`{-~]')), 0) FROM kept)
+SELECT source, lang, tokenizer, count(*) AS documents, CAST(sum(n) AS BIGINT) AS tokens
+FROM counts GROUP BY ALL
+"""
+
+ORACLES: dict[str, str] = {"op4_curriculum_mix": OP4, "op9_token_rollup": OP9}
