@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import crosspoly, licenses, mixing, records, rollups, secrets, toxicity
+from tidemark.llm import crosspoly, jaccard, licenses, mixing, records, rollups, secrets, toxicity
 from tidemark.llm.common import SPACED_WORD, Scratch, table
 from tidemark.session import scratch_path
 
@@ -112,6 +112,12 @@ def op9_token_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return rollup.totals()
 
 
+def op10_jaccard_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Size of every document's shingle set and the smallest document its links reach."""
+    groups = jaccard.jaccard_groups(table(spark, folder, "documents"))
+    return groups.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_notices": op2_license_notices,
     "op3_toxic_segments": op3_toxic_segments,
@@ -120,4 +126,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_cross_polytope": op6_cross_polytope,
     "op8_secret_ownership": op8_secret_ownership,
     "op9_token_rollup": op9_token_rollup,
+    "op10_jaccard_groups": op10_jaccard_groups,
 }
