@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import crosspoly, jaccard, licenses, mixing, records, rollups, secrets, toxicity
+from tidemark.llm import crosspoly, jaccard, licenses, mixing, records, rollups, secrets, suffixes, toxicity
 from tidemark.llm.common import SPACED_WORD, Scratch, table
 from tidemark.session import scratch_path
 
@@ -42,6 +42,16 @@ def op8_secret_ownership(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes that repeat 50-byte strings of smaller documents, removed from every document."""
+    found = suffixes.remove_repeats(table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op2_license_notices(spark: SparkSession, folder: str) -> DataFrame:
     """Exact phrases and fuzzy notices of every document; the score is the best match's share of unedited text."""
     found = licenses.scan_licenses(table(spark, folder, "documents"))
@@ -119,6 +129,7 @@ def op10_jaccard_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_license_notices": op2_license_notices,
     "op3_toxic_segments": op3_toxic_segments,
     "op4_curriculum_mix": op4_curriculum_mix,
