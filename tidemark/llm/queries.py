@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import crosspoly, jaccard, licenses, mixing, records, rollups, secrets, suffixes, toxicity
+from tidemark.llm import crosspoly, decontaminate, jaccard, licenses, mixing, records, rollups, secrets, suffixes, toxicity
 from tidemark.llm.common import SPACED_WORD, Scratch, table
 from tidemark.session import scratch_path
 
@@ -27,6 +27,17 @@ def op5_token_records(spark: SparkSession, folder: str) -> DataFrame:
     return records.encoded_records(spark, table(spark, folder, "documents"))
 
 
+def op7_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold benchmark passages: one row per document and item, its best match."""
+    found = decontaminate.benchmark_matches(
+        table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark")
+    )
+    return found.groupBy("doc_id", "item_id").agg(
+        F.count(F.lit(1)).alias("n_segments"), F.min("edits").alias("fewest_edits"),
+        F.min("start").alias("start"), F.max("stop").alias("stop"),
+    )
+
+
 def op8_secret_ownership(spark: SparkSession, folder: str) -> DataFrame:
     """Credential spans; a source is an owner, its documents of one language a repository."""
     found = secrets.find_secrets(table(spark, folder, "documents"), "source", ["source", "lang"])
@@ -135,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_curriculum_mix": op4_curriculum_mix,
     "op5_token_records": op5_token_records,
     "op6_cross_polytope": op6_cross_polytope,
+    "op7_benchmark_leaks": op7_benchmark_leaks,
     "op8_secret_ownership": op8_secret_ownership,
     "op9_token_rollup": op9_token_rollup,
     "op10_jaccard_groups": op10_jaccard_groups,
