@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 
 
 def influential_words(weights: DataFrame, n: int = 10, digits: int = 6) -> DataFrame:
-    """(side, place, term, weight) out of (term, weight): the ``n`` highest and ``n`` lowest.
+    """(fold, side, place, term, weight): the ``n`` highest and ``n`` lowest of every fold.
 
-    Weights are rounded before they are ranked; ties go by the term.
+    ``weights`` is (term, weight), with a fold where there are several. Weights are rounded before
+    they are ranked; ties go by the term. A fold holds no more terms than its vocabulary.
     """
-    table = weights.select("term", F.round("weight", digits).alias("weight"))
+    by = [c for c in ("fold",) if c in weights.columns]
+    table = weights.select(*by, "term", F.round("weight", digits).alias("weight"))
     parts = []
     for side, order in (("positive", F.desc("weight")), ("negative", F.asc("weight"))):
-        best = table.orderBy(order, F.asc("term")).limit(n)
-        place = F.row_number().over(W.orderBy(order, F.asc("term")))
-        parts.append(best.select(F.lit(side).alias("side"), place.alias("place"), "term", "weight"))
+        place = F.row_number().over(W.partitionBy(*by).orderBy(order, F.asc("term")))
+        ranked = table.withColumn("place", place).filter(F.col("place") <= n)
+        parts.append(ranked.select(*by, F.lit(side).alias("side"), "place", "term", "weight"))
     return parts[0].unionByName(parts[1])
 
 

@@ -8,17 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.lookup import lookup
-from tidemark.operators.terms import exploded_terms
+from tidemark.operators.terms import document_keys, exploded_terms
 
 
 def lexicon_polarity(
-    docs: DataFrame, lexicon: DataFrame, keep: Sequence[str] = ("doc_id",), bound: int | None = None
+    docs: DataFrame, lexicon: DataFrame, keep: Sequence[str] | None = None, bound: int | None = None
 ) -> DataFrame:
     """(keep, polarity): mean over all occurrences of lexicon words, 0 without any.
 
+    By default ``keep`` is the document's domain and number. Polarities are summed as they are
+    given; whole numbers (hundredths, say) sum exactly in any order.
+
     ``docs`` carries ``terms``; ``lexicon`` is (word, polarity) with one row per word, and
     ``bound`` its row count where that is known.
     """
+    keep = keep or document_keys(docs)
     rows = exploded_terms(docs, *keep, outer=True)
     entries = lexicon.select(F.col("word").alias("term"), "polarity")
     hits = lookup(rows, entries, bound=bound)

@@ -95,6 +95,15 @@ def decide(scores: dict[int, Column]) -> tuple[Column, Column]:
     return y_pred, weights[-1] / total
 
 
+def margin(scores: dict[int, Column]) -> Column:
+    """Log odds of the last class against the first, which rank where probabilities saturate.
+
+    Rounded to nine digits, so that the order of a distributed sum cannot break a tie.
+    """
+    classes = sorted(scores)
+    return F.round(scores[classes[-1]] - scores[classes[0]], 9)
+
+
 def nb_predict(
     docs: DataFrame,
     folds: DataFrame,
@@ -117,7 +126,8 @@ def nb_predict(
         .agg(*[F.coalesce(F.sum(F.col("tf") * F.col(c)), F.lit(0.0)).alias(c) for c in lps])
     )
     scored = summed.join(F.broadcast(priors(sizes, classes)), "fold")
-    y_pred, score = decide({c: F.col(f"prior_{c}") + F.col(f"lp_{c}") for c in classes})
+    priors_and_sums = {c: F.col(f"prior_{c}") + F.col(f"lp_{c}") for c in classes}
+    y_pred, score = decide(priors_and_sums)
     return scored.select(
         "fold",
         "domain",
@@ -127,4 +137,5 @@ def nb_predict(
         F.col("label").alias("y_true"),
         y_pred.alias("y_pred"),
         score.alias("score"),
+        margin(priors_and_sums).alias("margin"),
     )

@@ -26,6 +26,8 @@ def mid_ranks(scores: DataFrame, block: str = "dataset", treatment: str = "metho
         F.col(treatment).alias("treatment"),
         (F.rank().over(inside.orderBy("score")) + (same - 1) / 2).alias("rank"),
         same.alias("tied"),
+        F.count(F.lit(1)).over(inside).alias("width"),
+        F.count(F.lit(1)).over(W.partitionBy("slice", block, treatment)).alias("copies"),
     )
 
 
@@ -35,7 +37,8 @@ def friedman_test(
     """(slice, k, n, statistic, p, reject): do the treatments differ?
 
     By default methods are compared with datasets as blocks. Exchange the two columns to
-    compare datasets over methods. Every block must hold every treatment once.
+    compare datasets over methods. Where a block does not hold every treatment exactly once, the
+    test is not defined: statistic, p and reject are NULL.
     """
     ranks = mid_ranks(scores, block, treatment)
     sums = ranks.groupBy("slice", "treatment").agg(
@@ -43,17 +46,21 @@ def friedman_test(
         F.count(F.lit(1)).alias("n"),
         # Each of the t scores tied together adds t^2 - 1, the group t^3 - t.
         F.sum(F.col("tied") * F.col("tied") - 1).alias("ties"),
+        F.min("width").alias("narrowest"),
+        F.max("width").alias("widest"),
+        F.max("copies").alias("copies"),
     )
     total = sums.groupBy("slice").agg(
         F.count(F.lit(1)).alias("k"),
         F.max("n").alias("n"),
         F.sum(F.col("rank_sum") * F.col("rank_sum")).alias("ssq"),
         F.sum("ties").alias("ties"),
+        ((F.min("narrowest") == F.count(F.lit(1))) & (F.max("widest") == F.count(F.lit(1))) & (F.max("copies") == 1)).alias("complete"),
     )
     k, n = F.col("k"), F.col("n")
     correction = 1 - F.col("ties") / (n * k * (k * k - 1))
     raw = 12.0 / (n * k * (k + 1)) * F.col("ssq") - 3 * n * (k + 1)
-    stat = total.withColumn("statistic", F.when(correction > 0, raw / correction))
+    stat = total.withColumn("statistic", F.when(F.col("complete") & (correction > 0), raw / correction))
     tested = stat.withColumn("p", chi2_tail(F.col("statistic"), k - 1))
     return tested.select("slice", "k", "n", "statistic", "p", (F.col("p") <= alpha).alias("reject"))
 
@@ -91,18 +98,18 @@ def nemenyi_pairs(
         .groupBy("slice", "treatment")
         .agg(F.avg("rank").alias("mean_rank"), F.count(F.lit(1)).alias("n"))
     )
-    means = means.withColumn("k", F.count(F.lit(1)).over(W.partitionBy("slice")))
-    other = means.select("slice", F.col("treatment").alias("method_b"), F.col("mean_rank").alias("mean_b"))
-    k, n = F.col("k"), F.col("n")
-    gap = F.abs(F.col("mean_rank") - F.col("mean_b"))
+    # The methods of a slice fit in one array; pairing it with itself computes the ranks once.
+    listed = means.groupBy("slice").agg(F.collect_list(F.struct("treatment", "mean_rank", "n")).alias("all"))
+    twice = listed.select("slice", "all", F.explode("all").alias("a")).select("slice", "all", "a", F.explode("all").alias("b"))
+    k, n = F.size("all"), F.col("a.n")
+    gap = F.abs(F.col("a.mean_rank") - F.col("b.mean_rank"))
     pairs = (
-        means.join(other, "slice")
-        .filter(F.col("treatment") <= F.col("method_b"))
+        twice.filter(F.col("a.treatment") <= F.col("b.treatment"))
         .select(
             "slice",
-            F.col("treatment").alias("method_a"),
-            "method_b",
-            "k",
+            F.col("a.treatment").alias("method_a"),
+            F.col("b.treatment").alias("method_b"),
+            k.alias("k"),
             gap.alias("rank_gap"),
             (gap / F.sqrt(k * (k + 1) / (6 * n)) * math.sqrt(2)).alias("q"),
         )

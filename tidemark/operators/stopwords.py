@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.lookup import lookup
-from tidemark.session import small_table
+from tidemark.operators.terms import document_keys
+from tidemark.session import broadcast_if_small, small_table
 
 
 def stop_table(spark: SparkSession, lists: Mapping[str, Iterable[str]]) -> DataFrame:
@@ -21,24 +22,24 @@ def stop_table(spark: SparkSession, lists: Mapping[str, Iterable[str]]) -> DataF
 
 
 def without_stop_words(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """(doc_id, tokens) without the listed words, in text order; no document is lost.
+    """(domain, doc_id, tokens) without the listed words, in text order; no document is lost.
 
     The list is joined as a table: a small one is broadcast, a large one is shuffled with
     its most frequent words served separately.
     """
-    rows = docs.select("doc_id", F.posexplode_outer("tokens").alias("pos", "word"))
+    keys = document_keys(docs)
+    rows = docs.select(*keys, F.posexplode_outer("tokens").alias("pos", "word"))
     marked = lookup(rows, words.distinct().withColumn("__stop", F.lit(True)), key="word")
     entry = F.when(F.col("word").isNotNull() & F.col("__stop").isNull(), F.struct("pos", "word"))
-    gathered = marked.groupBy("doc_id").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-    return gathered.select("doc_id", F.transform("entries", lambda e: e["word"]).alias("tokens"))
+    gathered = marked.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    return gathered.select(*keys, F.transform("entries", lambda e: e["word"]).alias("tokens"))
 
 
 def keep_words(docs: DataFrame, words: DataFrame) -> DataFrame:
     """(domain, word, hits): occurrences of each domain's listed words in its documents."""
-    counts = (
-        docs.select("domain", F.explode_outer("tokens").alias("word"))
-        .filter(F.col("word").isNotNull())
-        .groupBy("domain", "word")
-        .agg(F.count(F.lit(1)).alias("hits"))
-    )
-    return counts.join(words, ["domain", "word"])
+    # The lists are joined first: words on no list leave their task uncounted.
+    rows = docs.select("domain", F.explode_outer("tokens").alias("word")).filter(F.col("word").isNotNull())
+    lists = words.distinct()
+    small = broadcast_if_small(lists)
+    listed = rows.join(lists if small is None else small, ["domain", "word"])
+    return listed.groupBy("domain", "word").agg(F.count(F.lit(1)).alias("hits"))

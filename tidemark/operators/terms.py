@@ -65,6 +65,11 @@ def exploded_terms(docs: DataFrame, *keep: str, outer: bool = False) -> DataFram
     return rows if outer else rows.filter(F.col("term").isNotNull())
 
 
+def document_keys(docs: DataFrame, *more: str) -> list[str]:
+    """The columns that name a document: its domain, where there is one, and its number."""
+    return [c for c in ("domain", "doc_id", *more) if c in docs.columns]
+
+
 def term_totals(docs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, term, cnt, df): occurrences and number of documents of each term."""
     return (

@@ -8,22 +8,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.lookup import lookup
-from tidemark.operators.terms import exploded_terms
+from tidemark.operators.terms import document_keys, exploded_terms
 
 
 def pool_vectors(
     docs: DataFrame,
     vectors: DataFrame,
     size: int,
-    keep: Sequence[str] = ("doc_id",),
+    keep: Sequence[str] | None = None,
     bound: int | None = None,
 ) -> DataFrame:
     """(keep, vector): mean vector over the occurrences of known words, zeros without any.
 
+    By default ``keep`` is the document's domain and number, which name it together.
     ``docs`` carries ``terms``; ``vectors`` is (word, vector) with one row per word. A word
     table is as large as the training vocabulary, so it is broadcast only after a check of
     its size (see ``lookup``). The components are summed per document before the shuffle.
     """
+    keep = keep or document_keys(docs)
     rows = exploded_terms(docs, *keep, outer=True)
     entries = vectors.select(F.col("word").alias("term"), "vector")
     known = lookup(rows, entries, bound=bound, limit=100_000)

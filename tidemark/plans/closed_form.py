@@ -144,7 +144,7 @@ def sample_predictions(wide: DataFrame, corpus: DataFrame, size: int = 10, seed:
     """
     order = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(f"-{seed}")))
     best = wide.orderBy(order, "fold", "doc_id").limit(size)
-    return corpus.select("doc_id", "raw_text").join(F.broadcast(best), "doc_id")
+    return corpus.select("domain", "doc_id", "raw_text").join(F.broadcast(best), ["domain", "doc_id"])
 
 
 def scores_long(metrics: DataFrame, method: Sequence[str] = ("feature", "model")) -> DataFrame:

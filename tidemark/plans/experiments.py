@@ -105,12 +105,12 @@ def fold_data(
         "word-vectors",
     )
     roles = all_terms.join(F.broadcast(folds), ["domain", "part"])
-    keys = ["doc_id", "role"]
+    keys = ["domain", "doc_id", "role"]
     pooled = pool_vectors(roles, vectors, settings.vector_size, keys).select(
         *keys, array_to_vector("vector").alias("w2v")
     )
     rows = tfidf_vectors(count_vectors(roles.withColumn("terms", terms), vocab), vocab)
-    rows = rows.select("role", "domain", "doc_id", "label", "bow", "tfidf").join(pooled, keys)
+    rows = rows.select(*keys, "label", "bow", "tfidf").join(pooled, keys)
     if lexicon is not None:
         rows = rows.join(lexicon_polarity(roles, lexicon, keys, bound), keys)
     table = written(rows, f"features-{fold}")
@@ -257,7 +257,7 @@ def pair_documents(spark: SparkSession, paths: Mapping[str, str], source: str, t
     parts = []
     for domain, profile in zip((source, target), sides):
         layout = LAYOUTS[domain]
-        rows = layout.corpus(layout.read(spark, paths[domain]), domain)
+        rows = written(layout.corpus(layout.read(spark, paths[domain]), domain), "corpus")
         parts.append(prepare(rows, profile={domain: profile} if profile else None))
     return _union(parts)
 

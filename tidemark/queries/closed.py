@@ -104,8 +104,9 @@ def encode_roles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def threshold(spark: SparkSession, folder: str) -> DataFrame:
-    first = F.get("embedding", F.lit(0))
-    return read_table(spark, folder, "embeddings").select("vec_id", above(first).alias("flag"))
+    """Every component of every vector against the threshold."""
+    rows = read_table(spark, folder, "embeddings").select("vec_id", F.posexplode("embedding").alias("dim", "value"))
+    return rows.select("vec_id", "dim", above(F.col("value")).alias("flag"))
 
 
 def train_test_split(spark: SparkSession, folder: str) -> DataFrame:
@@ -233,7 +234,7 @@ def lexicon_polarity(spark: SparkSession, folder: str) -> DataFrame:
 
 def split_polarity(spark: SparkSession, folder: str) -> DataFrame:
     docs = labelled_terms(spark, folder)
-    scored = polarity_of(docs, lexicon(docs), ("doc_id", "part"), LEXICON)
+    scored = polarity_of(docs, lexicon(docs), ("domain", "doc_id", "part"), LEXICON)
     return scored.select("doc_id", "part", r6(F.col("polarity") + NUDGE).alias("polarity"))
 
 
@@ -261,10 +262,9 @@ def nb_predict(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def influential_words(spark: SparkSession, folder: str) -> DataFrame:
-    """Log odds of the naive Bayes model trained on all domains but d0."""
+    """Log odds of the naive Bayes models, each trained on all domains but one."""
     docs = labelled_terms(spark, folder)
-    cells = [c for c in leave_one_out_cells(DOMAINS) if c[0] == "d0"]
-    model = fit_nb(fold_terms(docs, fold_table(spark, cells)), VOCABULARY)
+    model = fit_nb(fold_terms(docs, fold_table(spark, leave_one_out_cells(DOMAINS))), VOCABULARY)
     return most_influential(log_odds(model), 10).withColumn("weight", r6(F.col("weight")))
 
 
@@ -313,8 +313,8 @@ def metrics_per_class(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def roc_auc(spark: SparkSession, folder: str) -> DataFrame:
-    """Scores are rounded first: distributed sums differ in the last digits, and ties count."""
-    pred = _nb_folds(spark, folder, leave_one_out_cells(DOMAINS)).withColumn("score", r6(F.col("score")))
+    """Documents are ranked by their log odds: most probabilities are 1 to all digits."""
+    pred = _nb_folds(spark, folder, leave_one_out_cells(DOMAINS)).withColumn("score", F.col("margin"))
     return M.roc_auc(pred, by=["fold"]).withColumn("auc", r6(F.col("auc")))
 
 
@@ -322,8 +322,8 @@ def regression_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Polarity of the test documents against the class score of naive Bayes, mapped to [-1, 1]."""
     docs = labelled_terms(spark, folder)
     cells = leave_one_out_cells(DOMAINS)
-    truth = polarity_of(docs, lexicon(docs), ("doc_id",), LEXICON)
-    pred = C.nb_bow(docs, cells, VOCABULARY).drop("y_true", "y_pred").join(truth, "doc_id")
+    truth = polarity_of(docs, lexicon(docs), ("domain", "doc_id"), LEXICON)
+    pred = C.nb_bow(docs, cells, VOCABULARY).drop("y_true", "y_pred").join(truth, ["domain", "doc_id"])
     pred = pred.select("fold", F.col("polarity").alias("y_true"), (2 * F.col("score") - 1).alias("y_pred"))
     table = M.regression_metrics(pred, by=["fold"])
     return table.select("fold", *[r6(F.col(c)).alias(c) for c in ("mse", "rmse", "mae", "r2")])
@@ -337,7 +337,6 @@ def hard_vote(spark: SparkSession, folder: str) -> DataFrame:
 
 def soft_vote(spark: SparkSession, folder: str) -> DataFrame:
     pred = leave_one_out_predictions(spark, folder).filter("model = 'Naive Bayes'")
-    pred = pred.withColumn("score", r6(F.col("score")))
     return vote_soft(pred).select("fold", "doc_id", "y_true", "y_pred", r6(F.col("score")).alias("score"))
 
 

@@ -95,6 +95,7 @@ def _scored(sums: str) -> str:
 
 
 _CTE["bow_pred"] = _scored("bow_sums")
+_CTE["bow_margins"] = "SELECT fold, y_true, round(s_1 - s_0, 9) AS score FROM (" + _scored("bow_sums").split("FROM (", 1)[1]
 _CTE["tfidf_pred"] = _scored("tfidf_sums")
 _CTE["doc_polarity"] = """SELECT d.doc_id, any_value(d.part) AS part,
     coalesce(sum(tf * polarity) / sum(CASE WHEN polarity IS NOT NULL THEN tf END), 0.0) AS polarity
@@ -157,6 +158,7 @@ _NEEDS = {
     "fcounts": "counts {folds}", "fvocab": "fcounts", "model": "fvocab", "bow_sums": "fcounts model",
     "fweights": "fcounts fvocab sizes", "fnormed": "fweights", "tmodel_sums": "fvocab fnormed",
     "tmodel": "tmodel_sums", "tfidf_sums": "fnormed tmodel", "bow_pred": "fdocs sizes bow_sums",
+    "bow_margins": "fdocs sizes bow_sums",
     "tfidf_pred": "fdocs sizes tfidf_sums", "doc_polarity": "docs counts lexicon",
     "lexicon_pred": "fdocs doc_polarity", "majority_pred": "fdocs sizes",
     "pred": "bow_pred tfidf_pred lexicon_pred majority_pred", "wide": "pred", "metrics": "pred",
@@ -233,7 +235,8 @@ ORACLES: dict[str, str] = {
         CASE quality + toxic + 1 WHEN 1 THEN 0 WHEN 2 THEN 1 END AS label FROM labels""",
     "encode_labels": """SELECT conv_id, turn, role, CAST(dense_rank() OVER (ORDER BY role) - 1 AS INTEGER) AS label
         FROM conversations""",
-    "threshold": "SELECT vec_id, CASE WHEN embedding[1] > 0.5 THEN 1 ELSE 0 END AS flag FROM embeddings",
+    "threshold": """SELECT vec_id, CAST(dim AS INTEGER) AS dim, CASE WHEN v > 0.5 THEN 1 ELSE 0 END AS flag FROM (
+        SELECT vec_id, unnest(range(len(embedding))) AS dim, unnest(embedding) AS v FROM embeddings)""",
     "train_test_split": f"SELECT doc_id, {_PART} AS part FROM documents",
     "lodo_folds": _with("docs lodo", "SELECT fold, role, domain, doc_id, label FROM docs JOIN lodo USING (domain, part)"),
     "clean_text": _with("alldocs", f"SELECT doc_id, {_joined('tokens')} AS clean FROM alldocs"),
@@ -270,11 +273,10 @@ ORACLES: dict[str, str] = {
     "split_polarity": _with("doc_polarity", f"SELECT doc_id, part, {_r6(f'polarity + {NUDGE}')} AS polarity FROM doc_polarity"),
     "nb_model": _with("model", f"SELECT fold, term, {_r6('lp_0')} AS lp_0, {_r6('lp_1')} AS lp_1 FROM model", "single"),
     "nb_predict": _with("bow_pred", f"SELECT fold, doc_id, y_true, y_pred, {_r6('score')} AS score FROM bow_pred", "single"),
-    "influential_words": _with("model", f"""SELECT * FROM (
-        SELECT 'positive' AS side, CAST(row_number() OVER (ORDER BY weight DESC, term) AS INTEGER) AS place, term, weight FROM w
-        UNION ALL
-        SELECT 'negative', CAST(row_number() OVER (ORDER BY weight, term) AS INTEGER), term, weight FROM w) WHERE place <= 10""")
-    .replace("SELECT * FROM (\n", f", w AS (SELECT term, {_r6('lp_1 - lp_0')} AS weight FROM model WHERE fold = 'd0')\nSELECT * FROM (\n", 1),
+    "influential_words": _with("model", f"""SELECT fold, side, CAST(place AS INTEGER) AS place, term, weight FROM (
+        SELECT *, row_number() OVER (PARTITION BY fold, side ORDER BY sign * weight DESC, term) AS place FROM (
+            SELECT fold, term, {_r6('lp_1 - lp_0')} AS weight FROM model),
+            (VALUES ('positive', 1), ('negative', -1)) s(side, sign)) WHERE place <= 10"""),
     "exp_single_nb": _with("bow_pred", _metrics("bow_pred", "fold"), "single"),
     "exp_transfer": _with("bow_pred", _metrics("bow_pred", "fold"), "transfer"),
     "exp_lodo": _with("bow_pred", _metrics("bow_pred", "fold")),
@@ -295,25 +297,27 @@ ORACLES: dict[str, str] = {
             coalesce(count(*) FILTER (y_true = class AND y_pred = class) / nullif(count(*) FILTER (y_true = class), 0), 0.0) AS r
             FROM bow_pred, (SELECT y_true AS class FROM bow_pred UNION SELECT y_pred FROM bow_pred)
             GROUP BY fold, class HAVING count(*) FILTER (y_true = class OR y_pred = class) > 0)"""),
-    "roc_auc": _with("bow_pred", f"""SELECT fold, {_r6('(sum(r) FILTER (y_true = 1) - p * (p + 1) / 2) / nullif(p * n, 0)')} AS auc FROM (
+    "roc_auc": _with("bow_margins", f"""SELECT fold, {_r6('(sum(r) FILTER (y_true = 1) - p * (p + 1) / 2) / nullif(p * n, 0)')} AS auc FROM (
         SELECT fold, y_true, rank() OVER (PARTITION BY fold ORDER BY score)
             + (count(*) OVER (PARTITION BY fold, score) - 1) / 2 AS r,
             count(*) FILTER (y_true = 1) OVER (PARTITION BY fold) AS p,
             count(*) FILTER (y_true = 0) OVER (PARTITION BY fold) AS n
-        FROM (SELECT fold, y_true, {_r6('score')} AS score FROM bow_pred)) GROUP BY fold, p, n"""),
+        FROM bow_margins) GROUP BY fold, p, n"""),
     "regression_metrics": _with("bow_pred doc_polarity", f"""SELECT fold, {_r6('avg(e * e)')} AS mse,
         {_r6('sqrt(avg(e * e))')} AS rmse, {_r6('avg(abs(e))')} AS mae, {_r6('1 - avg(e * e) / var_pop(t)')} AS r2
         FROM (SELECT fold, polarity AS t, polarity - (2 * score - 1) AS e FROM bow_pred JOIN doc_polarity USING (doc_id))
         GROUP BY fold"""),
     "hard_vote": _with("wide", "SELECT fold, doc_id, y_true, CASE WHEN p0 + p1 + p2 >= 2 THEN 1 ELSE 0 END AS y_pred FROM wide"),
     "soft_vote": _with("pred", f"""SELECT fold, doc_id, y_true, CASE WHEN s > 0.5 THEN 1 ELSE 0 END AS y_pred, {_r6('s')} AS score
-        FROM (SELECT fold, doc_id, y_true, round(avg({_r6('score')}), 9) AS s FROM pred
+        FROM (SELECT fold, doc_id, y_true, round(avg(score), 9) AS s FROM pred
             WHERE model = 'Naive Bayes' GROUP BY fold, doc_id, y_true)"""),
     "scores_long": _with("scores", "SELECT * FROM scores"),
     "friedman_test": _with("friedman", f"""SELECT slice, k, n, {_r6('statistic')} AS statistic, {_r6('p')} AS p, p <= 0.05 AS reject
-        FROM (SELECT *, CASE WHEN statistic <= 0 THEN 1.0 WHEN statistic > 0 THEN greatest(1 - (
-            SELECT sum(exp(((k - 1) / 2.0 + i) * ln(statistic / 2) - statistic / 2 - lgamma((k - 1) / 2.0 + i + 1)))
-            FROM range(401) s(i)), 0.0) END AS p FROM friedman)"""),
+        FROM (SELECT *, CASE WHEN statistic <= 0 THEN 1.0 WHEN statistic > 0 THEN (
+            SELECT sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * 2 * exp(
+                (k - 2) * ln(sqrt(statistic / 2) + i / 400.0) - pow(sqrt(statistic / 2) + i / 400.0, 2)
+                - lgamma((k - 1) / 2.0))) / 1200
+            FROM range(4001) s(i)) END AS p FROM friedman)"""),
     "nemenyi_pairs": _with("pairs tails", f"""SELECT slice, method_a, method_b, {_r6('rank_gap')} AS rank_gap, {_r6('q')} AS q,
         {_r6('p')} AS p, p <= 0.05 AS differs FROM pairs JOIN tails USING (q)"""),
     "nemenyi_matrix": _with("pairs tails", "SELECT slice, method_a, " + ", ".join(

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.labels import encode_labels, map_values
+from tidemark.functions.labels import code_of, encode_labels, map_values
+from tidemark.session import written
 
 
 def read_headered(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -29,10 +30,13 @@ def read_positional(
     spark: SparkSession, path: str, schema: T.StructType | str, needed: int | None = None
 ) -> DataFrame:
     """CSV without a header; columns are taken by position and named by the schema."""
-    df = spark.read.schema(schema).options(header=False, multiLine=True, quote='"', escape='"').csv(path)
-    if needed is not None and len(df.columns) < needed:
-        raise ValueError(f"{path}: {len(df.columns)} columns, at least {needed} are needed")
-    return df
+    reader = spark.read.options(header=False, multiLine=True, quote='"', escape='"')
+    if needed is not None:
+        # Without a schema the columns are those of the file's first record.
+        found = len(reader.csv(path).columns)
+        if found < needed:
+            raise ValueError(f"{path}: {found} columns, at least {needed} are needed")
+    return spark.read.schema(schema).options(header=False, multiLine=True, quote='"', escape='"').csv(path)
 
 
 @dataclass(frozen=True)
@@ -44,6 +48,7 @@ class Layout:
     header: bool
     label: str
     keep: tuple[str, ...] = ()
+    classes: tuple[str, ...] = ()
     mapping: Mapping[int, int] = field(default_factory=dict)
     encode: bool = False
     needed: int | None = None
@@ -56,18 +61,21 @@ class Layout:
     def corpus(self, raw: DataFrame, domain: str, key: Callable[[], Column] | None = None) -> DataFrame:
         """Filter, label and key the rows of one domain.
 
-        Files carry no key, so by default it is a hash of the whole row: unlike a row number
-        it stays the same when a task is run again. Equal rows share a key; pass ``key``
-        where the data has one.
+        Files carry no key, so by default every row gets a number of its own; equal rows stay
+        two documents. The numbers hold only once the result is written (``load_corpus`` does
+        that), because a second read may number the rows in another way. Pass ``key`` where the
+        data has one.
         """
         df = raw.filter(F.col(self.label).isin(*self.keep)) if self.keep else raw
-        if self.encode:
+        if self.classes:
+            df = df.withColumn("__label", code_of(F.col(self.label), self.classes))
+        elif self.encode:
             df = encode_labels(df, self.label, "__label")
         elif self.mapping:
             df = df.withColumn("__label", map_values(F.col(self.label), self.mapping))
         else:
             df = df.withColumn("__label", F.col(self.label).cast("int"))
-        doc_id = key() if key else F.xxhash64(*[F.col(c) for c in raw.columns])
+        doc_id = key() if key else F.monotonically_increasing_id()
         return df.select(
             F.lit(domain).alias("domain"),
             doc_id.cast("bigint").alias("doc_id"),
@@ -87,7 +95,7 @@ LAYOUTS: dict[str, Layout] = {
         False,
         "_c2",
         keep=("Positive", "Negative"),
-        encode=True,
+        classes=("Positive", "Negative"),
         needed=4,
     ),
     "amazon": Layout("_c0 int, _c1 string, _c2 string", "_c2", False, "_c0", mapping={1: 0, 2: 1}, needed=3),
@@ -95,7 +103,10 @@ LAYOUTS: dict[str, Layout] = {
 
 
 def load_corpus(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
-    """One corpus table out of the files of several domains (domain name -> path)."""
+    """One corpus table out of the files of several domains (domain name -> path).
+
+    It is written once, with the row numbers its documents keep from here on.
+    """
     out = None
     for domain, path in paths.items():
         layout = LAYOUTS[domain]
@@ -103,4 +114,4 @@ def load_corpus(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no domain given")
-    return out
+    return written(out, "corpus")
