@@ -6,6 +6,9 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from tidemark.functions.special import chi2_tail
 from tidemark.operators.explain import influential_words
 from tidemark.operators.metrics import confusion_matrix, metrics_per_class, metrics_table, regression_metrics, roc_auc
 from tidemark.operators.ranks import friedman_test, nemenyi_matrix, nemenyi_pairs
@@ -105,3 +108,33 @@ def test_rank_tests(spark):
     assert len(matrix) == 4 and all(r[r["method_a"]] == 1.0 for r in matrix)
     swapped = friedman_test(df, block="method", treatment="dataset").first()
     assert (swapped["k"], swapped["n"]) == (5, 4)
+
+
+def test_friedman_needs_complete_blocks(spark):
+    rows = [("s", f"d{i}", f"m{j}", float(i * j % 5)) for i in range(4) for j in range(3) if (i, j) != (2, 1)]
+    rows += [("t", f"d{i}", f"m{j}", float((i + j) % 3)) for i in range(4) for j in range(3)]
+    df = spark.createDataFrame(rows, "slice string, dataset string, method string, score double")
+    got = {r["slice"]: r for r in friedman_test(df).collect()}
+    assert got["s"]["statistic"] is None and got["s"]["p"] is None and got["s"]["reject"] is None
+    assert got["t"]["p"] is not None
+
+
+def test_chi_square_tail(spark):
+    def tail(x, dof):
+        z, out = x / 2, math.erfc(math.sqrt(x / 2)) if dof % 2 else 0.0
+        for i in range(dof // 2):
+            j = i + dof % 2 / 2
+            out += math.exp(j * math.log(z) - z - math.lgamma(j + 1))
+        return out
+
+    points = [(float(x), d) for x in (1e-9, 0.3, 2, 7.5, 16, 18.1, 50, 800, 3000, 1e6) for d in (1, 2, 3, 4, 7, 8, 31, 200)]
+    df = spark.createDataFrame(points, "x double, dof int")
+    for r in df.select("x", "dof", chi2_tail(F.col("x"), F.col("dof")).alias("p")).collect():
+        assert r["p"] == pytest.approx(tail(r["x"], r["dof"]), rel=1e-6, abs=1e-12)
+    assert spark.range(1).select(chi2_tail(F.lit(0.0), F.lit(3))).first()[0] == 1.0
+
+
+def test_friedman_rejects_the_clearest_case(spark):
+    rows = [("s", f"d{i}", f"m{j}", float(j)) for i in range(230) for j in range(8)]
+    got = friedman_test(spark.createDataFrame(rows, "slice string, dataset string, method string, score double")).first()
+    assert got["statistic"] == pytest.approx(230 * 7) and got["p"] < 1e-100 and got["reject"]

@@ -12,7 +12,7 @@ from tidemark.operators.metrics import metrics_table
 from tidemark.operators.naive_bayes import fold_sizes, fold_terms, nb_model, nb_predict
 from tidemark.operators.split import fold_table, single_cells
 from tidemark.operators.terms import document_terms
-from tidemark.operators.word2vec import train_word2vec
+from tidemark.operators.word2vec import context_pairs, train_word2vec
 from tidemark.plans import closed_form as C
 from tidemark.plans import experiments as X
 from tidemark.session import written
@@ -116,9 +116,9 @@ def test_naive_bayes_closed_form_equals_brute_force_and_vectors(spark, docs):
         got = {r["doc_id"]: (r["y_pred"], r["score"]) for r in pred if r["fold"] == f}
         assert got.keys() == want.keys()
         assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want)
-    tables = C.fold_vocabularies(terms, cells, 20)
     for f in "ab":
-        v, sizes = tables[f]
+        train = [d["label"] for d in rows if d["domain"] == f and d["part"] == "train"]
+        v, sizes = X.Vocabulary(sorted(vocab[f]), [1.0] * len(vocab[f])), {c: train.count(c) for c in (0, 1)}
         rows_f = X.count_vectors(terms.filter(F.col("domain") == f), v)
         score = fit_naive_bayes(rows_f.filter("part = 'train'"), "bow", sizes)
         got = {r["doc_id"]: r["score"] for r in score(rows_f.filter("part = 'test'")).collect()}
@@ -131,17 +131,29 @@ def test_class_missing_in_training_is_never_predicted(spark, docs):
     assert {r["y_pred"] for r in pred.collect()} == {1}
 
 
-def test_word_vectors(docs):
-    rows = train_word2vec(docs, size=5, partitions=1).collect()
-    assert {r["word"] for r in rows} == set(WORDS) | {"fine", "poor"} and all(len(r["vector"]) == 5 for r in rows)
-    with pytest.raises(ValueError, match="min_count"):
-        train_word2vec(docs, size=1 << 30)
+def test_word_vectors(spark, docs):
+    rows = {r["word"]: r["vector"] for r in train_word2vec(docs, size=70).collect()}
+    assert set(rows) == set(WORDS) | {"fine", "poor"}
+    assert all(len(v) == 70 and math.fsum(x * x for x in v) == pytest.approx(1, abs=1e-5) for v in rows.values())
+    again = {r["word"]: r["vector"] for r in train_word2vec(docs.repartition(7), size=70).collect()}
+    assert again == rows
+    alone = spark.createDataFrame([(["a"],), ([],), (["b", "c", "b"],)], "tokens array<string>")
+    assert {r["word"] for r in train_word2vec(alone, size=8).collect()} == {"a", "b", "c"}
+
+
+def test_context_pairs(spark):
+    from collections import Counter
+
+    texts = [list("abcabd"), ["a"], [], list("aaaa")]
+    want = Counter((t[i], t[j]) for t in texts for i in range(len(t)) for j in range(len(t)) if i != j and abs(i - j) <= 2)
+    df = spark.createDataFrame([(t,) for t in texts], "tokens array<string>")
+    assert {(r["word"], r["context"]): r["cnt"] for r in context_pairs(df, 2).collect()} == dict(want)
 
 
 def test_grid_learns_the_planted_words(spark, docs):
     lexicon = spark.createDataFrame([("fine", 1.0), ("poor", -1.0)], "word string, polarity double")
     cells = [c for c in single_cells(["a"])]
-    data = X.fold_data(docs, cells, X.Settings(vocabulary=30, vector_size=8, window=3, word2vec_partitions=1, svm_folds=2), lexicon, 2)
+    data = X.fold_data(docs, cells, X.Settings(vocabulary=30, vector_size=8, window=3, svm_folds=2), lexicon, 2)
     n_test = docs.filter("domain = 'a' AND part = 'test'").count()
     pred = written(X.with_votes(X.classify(data)), "pred")
     assert pred.groupBy("feature", "model").count().filter(F.col("count") != n_test).count() == 0

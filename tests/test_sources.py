@@ -5,7 +5,13 @@ import csv
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators.lexicon import lexicon_polarity
+from tidemark.operators.sequences import padded_sequences, token_sequences, word_index
 from tidemark.operators.split import all_pairs, fold_table, hash_part, in_role, leave_one_out_cells, single_cells, transfer_cells
+from tidemark.operators.stopwords import stop_table, without_stop_words
+from tidemark.operators.terms import document_terms
+from tidemark.operators.vectors import pool_vectors
+from tidemark.plans.closed_form import nb_bow, nb_tfidf
 from tidemark.plans.experiments import pair_documents
 from tidemark.plans.prepare import prepare
 from tidemark.session import broadcast_if_small, written
@@ -43,12 +49,45 @@ def test_layouts(spark, paths):
         ("amazon", "works \\ well", 1), ("amazon", 'broke; said "no"', 0),
     ])
     assert [r["raw_text"] for r in rows if r["label"] is None] == ["odd"]
-    assert len({r["doc_id"] for r in rows}) == len(rows)
-
-
-def test_too_few_columns(spark, paths):
-    with pytest.raises(ValueError, match="at least 4"):
-        read_positional(spark, paths["twitter"], "_c0 string, _c1 string, _c2 string", LAYOUTS["twitter"].needed)
+    assert len({(r["domain"], r["doc_id"]) for r in rows}) == len(rows)
+
+
+def test_too_few_columns(spark, tmp_path):
+    short = put(tmp_path / "short.csv", [[1, "Positive"], [2, "Negative"]])
+    with pytest.raises(ValueError, match="2 columns, at least 4"):
+        LAYOUTS["twitter"].read(spark, short)
+    assert read_positional(spark, short, "_c0 int, _c1 string", 2).count() == 2
+
+
+def test_equal_rows_stay_separate_documents(spark, tmp_path):
+    line = ["same text of a review", 1]
+    path = put(tmp_path / "r.csv", [["text", "label"], line, line, ["other words", 0], line])
+    docs = load_corpus(spark, {"rotten_tomatoes": path})
+    assert docs.count() == 4 and docs.select("domain", "doc_id").distinct().count() == 4
+    again = docs.join(docs.withColumnRenamed("raw_text", "t"), ["domain", "doc_id"])
+    assert again.filter("raw_text = t").count() == 4
+    prepared = written(document_terms(prepare(docs)), "prepared")
+    index = word_index(prepared)
+    seqs = token_sequences(prepared, index)
+    assert seqs.count() == 4 and all(len(r["seq"]) <= 4 for r in seqs.collect())
+    assert without_stop_words(prepared, stop_table(spark, {"g": ["same"]}).select("word")).count() == 4
+    cells = [("f", "rotten_tomatoes", part, role) for part in ("train", "test") for role in ("train", "test")]
+    bow, tfidf = (f(prepared, cells, 10).select("domain", "doc_id", "y_pred") for f in (nb_bow, nb_tfidf))
+    assert bow.count() == tfidf.count() == 4
+    assert bow.select("domain", "doc_id").exceptAll(tfidf.select("domain", "doc_id")).count() == 0
+
+
+def test_equal_numbers_in_two_domains(spark):
+    rows = [("a", 1, ["good", "film"]), ("b", 1, ["bad", "plot", "plot"]), ("b", 2, [])]
+    docs = document_terms(spark.createDataFrame(rows, "domain string, doc_id bigint, tokens array<string>"))
+    vectors = spark.createDataFrame([("good", [0.0]), ("bad", [1.0])], "word string, vector array<double>")
+    got = {(r["domain"], r["doc_id"]): list(r["vector"]) for r in pool_vectors(docs, vectors, 1).collect()}
+    assert got == {("a", 1): [0.0], ("b", 1): [1.0], ("b", 2): [0.0]}
+    lexicon = spark.createDataFrame([("good", 1.0), ("plot", -0.5)], "word string, polarity double")
+    got = {(r["domain"], r["doc_id"]): r["polarity"] for r in lexicon_polarity(docs, lexicon).collect()}
+    assert got == {("a", 1): 1.0, ("b", 1): -0.5, ("b", 2): 0.0}
+    seqs = padded_sequences(token_sequences(docs, word_index(docs)), 3)
+    assert {(r["domain"], r["doc_id"]): sum(x > 0 for x in r["seq"]) for r in seqs.collect()} == {("a", 1): 2, ("b", 1): 3, ("b", 2): 0}
 
 
 def test_header_must_match(spark, paths):

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.split import in_role
 from tidemark.operators.terms import exploded_terms, vocabulary
+from tidemark.session import broadcast_if_small
 
 CLASSES = (0, 1)
 CELL = ["domain", "part", "label"]
@@ -117,11 +118,21 @@ def nb_predict(
     moves is one row per document and fold. The model holds at most ``size`` terms per fold
     and is broadcast.
     """
+    return score_terms(in_role(docs, folds, "test"), model, sizes, classes)
+
+
+def score_terms(tests: DataFrame, model: DataFrame, sizes: DataFrame, classes: Sequence[int] = CLASSES) -> DataFrame:
+    """Predictions for ``tests`` (fold, domain, doc_id, label, terms with their weight in ``tf``).
+
+    The model is broadcast only after its rows were counted where folds could make it large.
+    """
     keys = ["fold", "domain", "doc_id", "label"]
     lps = [f"lp_{c}" for c in classes]
-    rows = exploded_terms(in_role(docs, folds, "test"), *keys, outer=True)
+    rows = exploded_terms(tests, *keys, outer=True)
+    table = model.select("fold", "term", *lps)
+    small = broadcast_if_small(table)
     summed = (
-        rows.join(F.broadcast(model.select("fold", "term", *lps)), ["fold", "term"], "left")
+        rows.join(table if small is None else small, ["fold", "term"], "left")
         .groupBy(*keys)
         .agg(*[F.coalesce(F.sum(F.col("tf") * F.col(c)), F.lit(0.0)).alias(c) for c in lps])
     )

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import long_tokens
 
+BUCKETS = 32
+
 
 def with_term_counts(df: DataFrame, tokens: Column, out: str = "terms") -> DataFrame:
     """Add array<struct<term, tf, pos>>: each distinct token, its count and first position.
@@ -83,12 +85,16 @@ def vocabulary(totals: DataFrame, size: int = 1000, by: Sequence[str] = ()) -> D
     """The ``size`` most frequent terms (per group), ranked from 1; ties go by the term.
 
     Without groups this is a top-k: every task keeps its own ``size`` best rows and only
-    those meet. With groups the rank filter does the same before its shuffle.
+    those meet. With groups the terms are ranked in hash buckets first: what a group ranks in the
+    end is at most ``size`` rows of each bucket, however many terms it has.
     """
     order = [F.desc("cnt"), F.asc("term")]
     if not by:
         best = totals.orderBy(*order).limit(size)
         return best.withColumn("rank", F.row_number().over(W.orderBy(*order)))
+    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS))
+    within = F.row_number().over(W.partitionBy(*by, "__bucket").orderBy(*order))
+    totals = totals.withColumn("__bucket", bucket).withColumn("rank", within).filter(F.col("rank") <= size).drop("__bucket")
     rank = F.row_number().over(W.partitionBy(*by).orderBy(*order))
     return totals.withColumn("rank", rank).filter(F.col("rank") <= size)
 

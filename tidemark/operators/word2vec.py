@@ -1,40 +1,59 @@
-"""Training of word vectors."""
+"""Word vectors by random indexing: sums of the random vectors of the words around a word.
+
+Every context word has a fixed vector of signs, derived from its hash. The vector of a word is the
+sum of its contexts' sign vectors, weighted by how often they stand near it, scaled to length 1. This
+is a random projection of the table of co-occurrences, which never exists in full: counts of (word,
+context) pairs are linear in the text, sums per word are plain aggregations with map-side combine,
+and nothing is held by the driver. The vectors depend on the texts alone, not on the machine, the
+partitions or the number of documents seen at a time.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Spark keeps all vectors in two float arrays on the driver and broadcasts them.
-MAX_FLOATS = 1 << 31
+
+def context_pairs(docs: DataFrame, window: int) -> DataFrame:
+    """(word, context, cnt): how often two words stand at most ``window`` places apart.
+
+    Pairs are listed inside the row and counted before they are shuffled; a text of any length is
+    one context.
+    """
+    rows = docs.select("tokens", F.posexplode("tokens").alias("pos", "word"))
+    near = F.slice("tokens", F.greatest(F.col("pos") - window, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(window)) + window + 1)
+    pairs = rows.select("word", "pos", F.posexplode(near).alias("at", "context"))
+    other = F.col("at") != F.least(F.col("pos"), F.lit(window))
+    return pairs.filter(other).groupBy("word", "context").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def sign(context: Column, place: int, seed: int) -> Column:
+    """+1 or -1 by one bit of the context's hash."""
+    word = F.xxhash64(context, F.lit(seed + place // 64))
+    return (F.shiftright(word, place % 64).bitwiseAND(F.lit(1)) * 2 - 1).cast("double")
 
 
 def train_word2vec(
-    docs: DataFrame,
-    size: int = 100,
-    window: int = 5,
-    min_count: int = 1,
-    partitions: int | None = None,
-    iterations: int = 1,
-    seed: int = 42,
+    docs: DataFrame, size: int = 100, window: int = 5, min_count: int = 1, seed: int = 42
 ) -> DataFrame:
-    """(word, vector) fitted on the ``tokens`` of the training documents (skip-gram).
+    """(word, vector) of all words of ``tokens`` that occur at least ``min_count`` times.
 
-    ``min_count`` = 1 keeps every word ever written, so the table grows with the corpus. Its
-    size is counted first; where it exceeds what Spark's trainer can hold, the call fails
-    with the numbers instead of losing the driver, and a higher ``min_count`` is needed.
+    A word that never has another one near it has no context; its own sign vector stands for it.
+    Weights are damped (1 + ln count); sums are rounded to nine digits before they are scaled, so
+    the order of a distributed sum cannot show.
     """
-    words = docs.select(F.explode_outer("tokens").alias("word")).filter(F.col("word").isNotNull())
-    known = words.groupBy("word").count().filter(F.col("count") >= min_count).count()
-    if known * size >= MAX_FLOATS:
-        raise ValueError(f"{known} words of {size} floats do not fit one model; raise min_count above {min_count}")
-    if partitions is None:
-        cores = docs.sparkSession.sparkContext.defaultParallelism
-        partitions = max(1, min(cores, known // 10_000))
-    model = Word2Vec(
-        vectorSize=size, windowSize=window, minCount=min_count, numPartitions=partitions,
-        maxIter=iterations, seed=seed, inputCol="tokens", outputCol="__vector",
-    ).fit(docs.select("tokens"))
-    return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
+    counts = docs.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    kept = counts.filter(F.col("n") >= min_count).select("word", F.col("word").alias("context"), F.lit(0.0).alias("weight"))
+    pairs = context_pairs(docs, window).select("word", "context", (1 + F.log("cnt")).alias("weight"))
+    if min_count > 1:
+        pairs = pairs.join(kept.select("word"), "word", "left_semi")
+    rows = pairs.unionByName(kept)
+    sums = [F.sum(F.col("weight") * sign(F.col("context"), i, seed)).alias(f"s{i}") for i in range(size)]
+    summed = rows.groupBy("word").agg(*sums)
+    raw = F.array(*[F.round(f"s{i}", 9) for i in range(size)])
+    norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda acc, x: acc + x * x))
+    own = F.array(*[sign(F.col("word"), i, seed) / math.sqrt(size) for i in range(size)])
+    scaled = F.when(F.col("norm") > 0, F.transform("raw", lambda x: x / F.col("norm"))).otherwise(own)
+    return summed.select("word", raw.alias("raw")).withColumn("norm", norm).select("word", scaled.cast("array<float>").alias("vector"))

@@ -5,15 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.classifiers import fit_naive_bayes
-from tidemark.operators.features import Vocabulary, count_vectors, tfidf_vectors
 from tidemark.operators.lexicon import lexicon_polarity
-from tidemark.operators.naive_bayes import fold_sizes, fold_terms, nb_model, nb_predict
+from tidemark.operators.naive_bayes import CLASSES, fold_sizes, fold_terms, nb_model, nb_predict, score_terms
 from tidemark.operators.split import Cell, fold_table, in_role
-from tidemark.operators.terms import smooth_idf, vocabulary
-from tidemark.session import in_parallel
+from tidemark.operators.terms import exploded_terms, smooth_idf, vocabulary
+from tidemark.session import written
 
 PREDICTION = ("fold", "domain", "doc_id", "feature", "model", "y_true", "y_pred", "score")
 
@@ -26,60 +25,39 @@ def nb_bow(docs: DataFrame, cells: Sequence[Cell], size: int = 1000) -> DataFram
     return nb_predict(docs, folds, model, sizes)
 
 
-def fold_vocabularies(docs: DataFrame, cells: Sequence[Cell], size: int = 1000) -> dict[str, tuple[Vocabulary, dict[int, int]]]:
-    """Vocabulary with idf, and class sizes, of each fold's training rows.
+def nb_tfidf(docs: DataFrame, cells: Sequence[Cell], size: int = 1000) -> DataFrame:
+    """Naive Bayes on TF-IDF weights, all folds in one plan.
 
-    At most ``size`` terms per fold reach the driver.
+    Weights differ between folds, because the idf does: a document is weighed once per fold it is
+    in. Its terms meet the fold's vocabulary (a broadcast of at most ``size`` rows per fold) where
+    they are and are gathered again, which moves one row per document and fold; the length of that
+    row norms it. The weighed rows are written, since training and scoring both read them.
     """
     folds = fold_table(docs.sparkSession, cells)
-    best = vocabulary(fold_terms(docs, folds), size, ["fold"])
-    counted = best.join(F.broadcast(fold_sizes(docs, folds)), "fold")
+    sizes = fold_sizes(docs, folds)
     idf = smooth_idf(F.col("df"), F.col("n")).alias("idf")
-    rows = counted.select("fold", "rank", "term", idf, "n_0", "n_1").collect()
-    out = {}
-    for fold in sorted({c[0] for c in cells}):
-        mine = sorted((r for r in rows if r["fold"] == fold), key=lambda r: r["rank"])
-        if not mine:
-            raise ValueError(f"fold {fold}: the training documents hold no term")
-        counts = {0: mine[0]["n_0"], 1: mine[0]["n_1"]}
-        out[fold] = (Vocabulary([r["term"] for r in mine], [r["idf"] for r in mine]), counts)
-    return out
-
-
-def nb_tfidf(docs: DataFrame, cells: Sequence[Cell], size: int = 1000) -> DataFrame:
-    """Naive Bayes on TF-IDF vectors.
-
-    Weights differ between folds, because the idf does, so each fold passes over the texts.
-    Vectors are built inside the row; a fit moves two vectors of sums per task, and scoring
-    moves nothing.
-    """
-    spark = docs.sparkSession
-    vocabularies = fold_vocabularies(docs, cells, size)
-
-    def run(fold: str) -> DataFrame:
-        vocab, sizes = vocabularies[fold]
-        table = fold_table(spark, [c for c in cells if c[0] == fold])
-
-        def side(role: str) -> DataFrame:
-            return tfidf_vectors(count_vectors(in_role(docs, table, role), vocab), vocab)
-
-        score = fit_naive_bayes(side("train"), "tfidf", sizes)
-        return score(side("test")).select(
-            "fold",
-            "domain",
-            "doc_id",
-            F.lit("TF-IDF").alias("feature"),
-            F.lit("Naive Bayes").alias("model"),
-            F.col("label").alias("y_true"),
-            "y_pred",
-            "score",
-        )
-
-    parts = in_parallel(spark, [lambda f=f: run(f) for f in sorted(vocabularies)])
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    words = written(
+        vocabulary(fold_terms(docs, folds), size, ["fold"]).join(F.broadcast(sizes), "fold").select("fold", "term", idf),
+        "fold-vocabulary",
+    )
+    keys = ["fold", "role", "domain", "doc_id", "label"]
+    roles = docs.join(F.broadcast(folds), ["domain", "part"])
+    rows = exploded_terms(roles, *keys, outer=True).join(F.broadcast(words), ["fold", "term"], "left")
+    entry = F.when(F.col("idf").isNotNull(), F.struct("term", (F.col("tf") * F.col("idf")).alias("raw")))
+    weighed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    norm = F.sqrt(F.aggregate("entries", F.lit(0.0), lambda acc, e: acc + e["raw"] * e["raw"]))
+    weights = F.transform("entries", lambda e: F.struct(e["term"].alias("term"), (e["raw"] / F.col("norm")).alias("tf")))
+    table = written(
+        weighed.withColumn("norm", norm).withColumn("terms", weights).select(*keys, "terms"), "weights"
+    )
+    sums = [F.sum(F.when(F.col("label") == c, F.col("tf")).otherwise(0.0)).alias(f"c_{c}") for c in CLASSES]
+    trained = exploded_terms(table.filter("role = 'train'"), "fold", "label").groupBy("fold", "term").agg(*sums)
+    # Every vocabulary word occurs in training; the counts only need smoothing.
+    inside = W.partitionBy("fold")
+    v = F.count(F.lit(1)).over(inside)
+    lps = [F.log((F.col(f"c_{c}") + 1.0) / (F.sum(f"c_{c}").over(inside) + v)).alias(f"lp_{c}") for c in CLASSES]
+    model = trained.select("fold", "term", *lps)
+    return score_terms(table.filter("role = 'test'"), model, sizes).withColumn("feature", F.lit("TF-IDF"))
 
 
 def lexicon_votes(docs: DataFrame, cells: Sequence[Cell], lexicon: DataFrame, bound: int | None = None) -> DataFrame:

@@ -55,7 +55,6 @@ class Settings:
     vector_size: int = 100
     window: int = 8
     min_count: int = 1
-    word2vec_partitions: int | None = None
     logistic_iterations: int = 1000
     svm_folds: int = 5
     threads: int = 4
@@ -99,9 +98,7 @@ def fold_data(
     train_docs = in_role(docs, folds, "train")
     vocab = fit_vocabulary(in_role(all_terms, folds, "train").withColumn("terms", terms), settings.vocabulary)
     vectors = written(
-        train_word2vec(
-            train_docs, settings.vector_size, settings.window, settings.min_count, settings.word2vec_partitions
-        ),
+        train_word2vec(train_docs, settings.vector_size, settings.window, settings.min_count),
         "word-vectors",
     )
     roles = all_terms.join(F.broadcast(folds), ["domain", "part"])
