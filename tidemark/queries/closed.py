@@ -50,7 +50,8 @@ from tidemark.queries.inputs import (
 )
 from tidemark.session import scratch_path, written
 from tidemark.sources.corpus import DOMAINS, all_documents, corpus as read_corpus, read_table
-from tidemark.sources.layouts import LAYOUTS, read_headered
+from tidemark.sources.layouts import LAYOUTS, load_corpus, read_headered
+from tidemark.sources.results import read_scores, write_by_fold
 
 CSV = dict(quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
@@ -79,6 +80,55 @@ def load_positional(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "label", F.md5("raw_text").alias("digest"))
 
 
+def _review_columns(layout: str) -> list:
+    """Columns of a corpus row as the layout's file has them."""
+    text, label = F.col("raw_text"), F.col("label")
+
+    def named(one: str, zero: str):
+        return F.when(label == 1, one).otherwise(zero)
+
+    return {
+        "imdb": [text.alias("review"), named("positive", "negative").alias("sentiment")],
+        "spotify": [text.alias("Review"), named("POSITIVE", "NEGATIVE").alias("label")],
+        "rotten_tomatoes": [text.alias("text"), label.alias("label")],
+        "twitter": [F.col("doc_id"), F.lit("topic"), named("Positive", "Negative"), text],
+        "amazon": [label + 1, F.lit("title"), text],
+    }[layout]
+
+
+def load_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled documents, each twice, through the files of the five layouts; one domain per layout."""
+    rows = written(read_corpus(spark, folder), "reviews")
+    paths = {}
+    for domain, name in zip(DOMAINS, LAYOUTS):
+        mine = rows.filter(F.col("domain") == domain).select(*_review_columns(name))
+        paths[name] = scratch_path(spark, f"reviews-{name}")
+        mine.union(mine).write.options(header=LAYOUTS[name].header, **CSV).csv(paths[name])
+    docs = load_corpus(spark, paths)
+    counts = docs.groupBy("domain", "label", F.md5("raw_text").alias("digest"))
+    return counts.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("documents"))
+
+
+def predictions_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Naive Bayes predictions written with one folder per fold and read back."""
+    path = scratch_path(spark, "predictions")
+    pred = _nb_folds(spark, folder, leave_one_out_cells(DOMAINS)).select("fold", "domain", "doc_id", "y_true", "y_pred")
+    write_by_fold(pred, path, "parquet")
+    return spark.read.parquet(path).select("fold", "doc_id", "y_true", "y_pred")
+
+
+def score_file(spark: SparkSession, folder: str) -> DataFrame:
+    """Accuracy and F1 in one cell, a matrix of folds and methods written as CSV; the F1 is read back."""
+    path = scratch_path(spark, "scores")
+    cell = F.concat_ws("; ", *[F.format_string("%.6f", c) for c in ("accuracy", "f1")])
+    table = metrics_table(spark, folder).select("fold", F.concat_ws(" / ", "feature", "model").alias("method"), cell.alias("cell"))
+    methods = [f"{f} / {m}" for f, m in MODELS]
+    wide = table.groupBy("fold").pivot("method", methods).agg(F.first("cell")).withColumn("mean", F.lit("1"))
+    wide.write.options(header=True, **CSV).csv(path)
+    back = read_scores(spark, path, methods, drop=["mean"], field=1)
+    return back.select("dataset", "method", r6(F.col("score")).alias("score"))
+
+
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     return read_corpus(spark, folder).select("domain", "doc_id", "label", F.md5("raw_text").alias("digest"))
 
@@ -370,7 +420,7 @@ def nemenyi_matrix(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        load_headered, load_positional, corpus, filter_labels, map_labels, threshold, train_test_split,
+        load_headered, load_positional, load_reviews, predictions_files, score_file, corpus, filter_labels, map_labels, threshold, train_test_split,
         lodo_folds, clean_text, clean_html, clean_chats, clean_text_domain, doc_tokens, doc_terms,
         stopword_anti_join, stopword_union, bow_counts, vocabulary_topk, idf, bow_transform,
         tfidf_transform, word_index, token_sequences, padded_sequences, doc_vectors_pooled,

@@ -1,4 +1,4 @@
-"""Queries with fitted models; their results have no SQL form."""
+"""Queries with fitted models; where part of a result has an SQL form, it is checked."""
 
 from __future__ import annotations
 
@@ -32,7 +32,7 @@ def _single(spark: SparkSession, folder: str, with_polarity: bool = False) -> X.
 def word2vec_train(spark: SparkSession, folder: str) -> DataFrame:
     vectors = train_vectors(train_only(written(labelled(spark, folder), "documents")), window=5)
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x * x))
-    return vectors.select("word", F.size("vector").alias("size"), norm.alias("norm"))
+    return vectors.select("word", F.size("vector").alias("size"), F.round(norm, 4).alias("norm"))
 
 
 def lr_predict(spark: SparkSession, folder: str) -> DataFrame:

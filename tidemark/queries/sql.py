@@ -227,6 +227,13 @@ ORACLES: dict[str, str] = {
     "load_headered": "SELECT doc_id, source, length(text) AS n_chars, md5(text) AS digest FROM documents",
     "load_positional": """SELECT doc_id, quality AS label, md5(text) AS digest
         FROM documents JOIN labels USING (doc_id) WHERE toxic <> 1""",
+    "load_reviews": f"""SELECT ['imdb', 'spotify', 'rotten_tomatoes', 'twitter', 'amazon'][1 + CAST(substr({_DOMAIN}, 2) AS INTEGER)] AS domain,
+        quality AS label, md5(text) AS digest, 2 * count(*) AS rows, 2 * count(*) AS documents
+        FROM documents JOIN labels USING (doc_id) GROUP BY ALL""",
+    "predictions_files": _with("bow_pred", "SELECT fold, doc_id, y_true, y_pred FROM bow_pred"),
+    "score_file": _with("metrics", "SELECT fold AS dataset, feature || ' / ' || model AS method, f1 AS score FROM metrics"),
+    "word2vec_train": _with("docs", """SELECT DISTINCT unnest(tokens) AS word, 100 AS size, 1.0::DOUBLE AS norm
+        FROM docs WHERE part = 'train'"""),
     "corpus": f"""SELECT {_DOMAIN} AS domain, doc_id, quality AS label, md5(text) AS digest
         FROM documents JOIN labels USING (doc_id)""",
     "filter_labels": """SELECT conv_id, turn, role, length(text) AS n_chars FROM conversations
