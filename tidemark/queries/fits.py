@@ -11,7 +11,7 @@ from tidemark.operators.metrics import metrics_table, regression_metrics
 from tidemark.operators.split import leave_one_out_cells, single_cells
 from tidemark.operators.word2vec import train_word2vec as train_vectors
 from tidemark.plans import experiments as X
-from tidemark.queries.inputs import LEXICON, labelled, labelled_terms, lexicon, train_only
+from tidemark.queries.inputs import LEXICON, labelled, labelled_terms, lexicon, r6, train_only
 from tidemark.session import in_parallel, written
 from tidemark.sources.corpus import DOMAINS
 
@@ -61,10 +61,19 @@ def mlp_predict(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stacked_features(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, copy, term, value): the non-zero entries of the stacked counts and weights.
+
+    Copies 0 to 2 are counts, 3 to 5 are weights.
+    """
     data = _single(spark, folder)
-    rows = X.stacked(data.test, len(data.vocabulary.terms), SINGLE.vector_size)
-    sizes = [F.size(vector_to_array(c)).alias(f"{c}_size") for c in ("stacked", "stacked_counts")]
-    return rows.select("doc_id", *sizes)
+    terms = data.vocabulary.terms
+    rows = X.stacked(data.test, len(terms), SINGLE.vector_size)
+    entries = rows.select("doc_id", F.posexplode(vector_to_array("stacked_counts")).alias("at", "value")).filter("value <> 0")
+    names = F.array(*[F.lit(t) for t in terms])
+    return entries.select(
+        "doc_id", F.floor(F.col("at") / len(terms)).cast("int").alias("copy"),
+        F.get(names, F.col("at") % len(terms)).alias("term"), r6(F.col("value")).alias("value"),
+    )
 
 
 def exp_single(spark: SparkSession, folder: str) -> DataFrame:

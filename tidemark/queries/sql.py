@@ -234,6 +234,10 @@ ORACLES: dict[str, str] = {
     "score_file": _with("metrics", "SELECT fold AS dataset, feature || ' / ' || model AS method, f1 AS score FROM metrics"),
     "word2vec_train": _with("docs", """SELECT DISTINCT unnest(tokens) AS word, 100 AS size, 1.0::DOUBLE AS norm
         FROM docs WHERE part = 'train'"""),
+    "stacked_features": _with("weighed", f"""SELECT doc_id, CAST(copy AS INTEGER) AS copy, term,
+        CASE WHEN copy < 3 THEN {_r6('CAST(tf AS DOUBLE)')} ELSE {_r6('w')} END AS value
+        FROM (SELECT doc_id, term, tf, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id)) AS w
+            FROM counts JOIN weighed USING (term) WHERE part = 'test'), range(6) c(copy)"""),
     "corpus": f"""SELECT {_DOMAIN} AS domain, doc_id, quality AS label, md5(text) AS digest
         FROM documents JOIN labels USING (doc_id)""",
     "filter_labels": """SELECT conv_id, turn, role, length(text) AS n_chars FROM conversations
