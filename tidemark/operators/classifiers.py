@@ -7,6 +7,7 @@ Spark's own: gradients are summed over the partitions and only the coefficients
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable
 
 import numpy as np
@@ -65,6 +66,10 @@ def fit_logistic(train: DataFrame, features: str, iterations: int = 1000, tolera
     return score
 
 
+# Spark's normal-equation solver takes at most this many features.
+NORMAL_WIDTH = 4096
+
+
 class LinearMargin:
     """A linear score as a weighted sum of fitted linear models, evaluated inside the row."""
 
@@ -96,8 +101,15 @@ def svm_margin(
 
     On the rows inside the margin the loss is (y - f(x))^2, so a Newton step is a ridge
     regression on those rows. A handful of passes replaces the hundreds that first-order steps
-    need. The step length is chosen from one aggregation that evaluates several at once.
+    need. The step length is chosen from one aggregation that evaluates several at once. Up to
+    ``NORMAL_WIDTH`` features a step solves the normal equations; wider ones are solved iteratively.
+    A fit that still improves after ``rounds`` steps warns.
+
+    Unlike in libraries that add a constant feature, the intercept is not penalized.
     """
+    one = train.select(features).first()
+    wide = one is not None and len(one[0]) > NORMAL_WIDTH
+    solver = {"solver": "l-bfgs", "maxIter": 1000, "tol": 1e-10} if wide else {"solver": "normal"}
     signed = train.select(features, (2 * F.col("label") - 1).cast("double").alias("__y"))
     rows, balance = sum(sizes.values()), sizes.get(1, 0) - sizes.get(0, 0)
     objective = penalty * rows
@@ -109,7 +121,7 @@ def svm_margin(
         near = current.add(signed, "__f").filter(F.col("__y") * F.col("__f") < 1)
         # Spark divides the penalty by the standard deviation of the target.
         ridge = LinearRegression(
-            solver="normal", regParam=spread / (2 * penalty * rows), elasticNetParam=0.0, standardization=False,
+            **solver, regParam=spread / (2 * penalty * rows), elasticNetParam=0.0, standardization=False,
             featuresCol=features, labelCol="__y",
         ).fit(near.select(features, "__y"))
         moved = LinearMargin([(ridge, 1.0)], ridge.coefficients.toArray()).add(current.add(signed, "__f"), "__g")
@@ -135,6 +147,8 @@ def svm_margin(
         rows, balance = found[f"rows{best}"], found[f"balance{best}"]
         if gain <= tolerance * objective:
             break
+    else:
+        warnings.warn(f"the linear SVM still improves after {rounds} steps", stacklevel=2)
     return current
 
 
