@@ -17,14 +17,17 @@ from tidemark.llm.common import Scratch, table
 
 def _carried(docs: DataFrame, *more) -> DataFrame:
     """The input rows as a struct, next to the columns an operator reads."""
-    return docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("carried"), *more)
+    return docs.select("doc_id", "source", *more, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("carried"))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what scores below 0.5. Null and empty texts stay; each row is judged by its own text."""
     model = queries.toxicity_model(spark, sf_dir, docs.select("doc_id", "text"))
-    scored = toxicity.score_documents(_carried(docs), model, "toxicity")
-    return scored.filter(F.col("toxicity.score") < 0.5).select("carried.*")
+    name = "toxicity"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    scored = toxicity.score_documents(docs, model, name)
+    return scored.filter(F.col(f"{name}.score") < 0.5).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,15 +38,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     groups = jaccard.jaccard_groups(docs.select("doc_id", "text"))
     heads = groups.filter("doc_id <=> component_id").select(F.col("doc_id").alias("head")).distinct()
-    kept = _carried(docs).join(heads, F.expr("doc_id <=> head"), "left_semi")
-    same = Window.partitionBy("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).orderBy("source")
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest")
+    kept = _carried(docs, digest).join(heads, F.expr("doc_id <=> head"), "left_semi")
+    same = Window.partitionBy("doc_id", "digest").orderBy("source")
     return kept.withColumn("copy", F.row_number().over(same)).filter("copy = 1").select("carried.*")
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a passage of ``benchmark``. Null and empty texts stay."""
-    clean = decontaminate.without_benchmark(_carried(docs), table(spark, sf_dir, "benchmark"))
-    return clean.select("carried.*")
+    return decontaminate.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +54,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words weigh nothing in the mix and are in none.
     """
-    sized = _carried(docs, mixing.word_count(F.col("text")).alias("size")).drop("text")
+    sized = _carried(docs, mixing.word_count(F.col("text")).alias("size"))
     placed = mixing.assign_positions(sized, mixing.cycle_weight, mixing.default_schedule)
     order = mixing.training_order(placed, ["doc_id", "size", "carried"])
     return order.filter(2 * F.col("visit.words") >= F.col("size")).select("carried.*")

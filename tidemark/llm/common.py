@@ -15,7 +15,12 @@ from tidemark.session import scratch_path
 # Words between ASCII white space.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# While a table is written, its shuffle files go when it is done, and batches of Python functions
+# stay small whatever the rows hold.
+WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
 
 
 _SHIPPED: set[str] = set()
@@ -53,12 +58,14 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
         path = scratch_path(self.spark, name)
-        before = self.spark.conf.get(CLEAN_UP, "false")
-        self.spark.conf.set(CLEAN_UP, "true")
+        before = {key: self.spark.conf.get(key) for key in WHILE_WRITING}
+        for key, value in WHILE_WRITING.items():
+            self.spark.conf.set(key, value)
         try:
             df.write.options(compression="zstd", **(options or {})).parquet(path)
         finally:
-            self.spark.conf.set(CLEAN_UP, before)
+            for key, value in before.items():
+                self.spark.conf.set(key, value)
         back = self.spark.read.schema(df.schema).parquet(path)
         back.scratch_path = path
         return back

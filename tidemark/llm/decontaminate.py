@@ -270,7 +270,7 @@ def without_benchmark(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark passage, with their columns as they are."""
     ship(docs.sparkSession)
     mark = "benchmark_matches"
-    while mark in docs.columns:
+    while mark in {c.lower() for c in docs.columns}:
         mark += "_"
     for searcher in item_blocks(items):
         docs = docs.withColumn(mark, matches(searcher)).filter(F.size(mark) == 0).drop(mark)

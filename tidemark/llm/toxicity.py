@@ -44,7 +44,8 @@ LEAST = 1.0  # features below are no evidence on their own, but would add up in
 COST = 0.25
 FORMS = 4
 LEVEL = 0.005
-MEMO = 500_000
+# Entries a task keeps at most; they bound memory and change no result.
+MEMO, HELD_FEATURES = 100_000, 200_000
 
 
 def features(word: str) -> list[str]:
@@ -146,8 +147,19 @@ def count_features(texts: DataFrame) -> DataFrame:
     """
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, forms = (Counter(), Counter()), Counter()
+
+        def counted() -> pd.DataFrame:
+            names = list(held[0].keys() | held[1].keys())
+            out = pd.DataFrame({
+                "feature": names, "toxic": [held[1][n] for n in names], "clean": [held[0][n] for n in names],
+                "forms": [forms[n] for n in names],
+            })
+            for counter in (*held, forms):
+                counter.clear()
+            return out
+
         for batch in batches:
-            held, forms = (Counter(), Counter()), Counter()
             for text, label in zip(batch["text"], batch["label"]):
                 words = set(WORD.findall(text.lower()))
                 held[label].update({f for w in words for f in features(w)})
@@ -156,11 +168,9 @@ def count_features(texts: DataFrame) -> DataFrame:
                         bit = 1 << (zlib.crc32(word.encode()) % 62)
                         for name in features(word):
                             forms[name] |= bit
-            names = list(held[0].keys() | held[1].keys())
-            yield pd.DataFrame({
-                "feature": names, "toxic": [held[1][n] for n in names], "clean": [held[0][n] for n in names],
-                "forms": [forms[n] for n in names],
-            })
+                if len(held[0]) + len(held[1]) > HELD_FEATURES:
+                    yield counted()
+        yield counted()
 
     each = texts.mapInPandas(counts, "feature string, toxic long, clean long, forms long")
     return each.groupBy("feature").agg(
