@@ -37,6 +37,7 @@ from tidemark.llm.exchange import distinct_counts, pack, range_bits, requests, t
 from tidemark.llm.shingles import shingle_sets
 
 LEADERS, LEADER_TOKENS = 4, 4
+HELD_PAIRS = 500_000
 BLOCK_LEVEL = 12  # lists of 2^12 and more classes are cut into blocks of about 2^11
 
 
@@ -270,7 +271,9 @@ def leader_pairs(sets: DataFrame, percent: int) -> DataFrame:
 def list_pairs(rows: DataFrame, percent: int, parts: int) -> DataFrame:
     """Pairs of different groups on an index list that sizes and positions allow.
 
-    ``rows``: (token, level, pos, cid, n, r, label).
+    ``rows``: (token, leader, level, pos, cid, n, r, label). Lists with the same leader (smallest
+    class) mostly hold the same classes: they are worked on together, so that a pair that shares
+    several of them is compared once.
     """
     blocks = F.when(F.col("level") < BLOCK_LEVEL, F.lit(1)).otherwise(F.pow(F.lit(2), F.col("level") - BLOCK_LEVEL + 1))
     own = rows.withColumn("blocks", blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
@@ -278,13 +281,13 @@ def list_pairs(rows: DataFrame, percent: int, parts: int) -> DataFrame:
     placed = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
     )
-    keyed = placed.withColumn("part", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("token"), F.lit(parts))).otherwise(F.xxhash64("token", "i", "j")))
+    keyed = placed.withColumn("part", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("leader"), F.lit(parts))).otherwise(F.xxhash64("leader", "blocks", "i", "j")))
 
     def pairs(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["token", "i", "j", "n", "cid"])
         token, cid, n, r, pos, label, block = (part[c].to_numpy() for c in ("token", "cid", "n", "r", "pos", "label", "own"))
         i, j = part["i"].to_numpy(), part["j"].to_numpy()
-        found, here, step = [], np.arange(len(part)), 0
+        found, held, here, step = [], 0, np.arange(len(part)), 0
         while len(here):
             step += 1
             here = here[here + step < len(part)]
@@ -297,8 +300,9 @@ def list_pairs(rows: DataFrame, percent: int, parts: int) -> DataFrame:
             good &= (i[here] == j[here]) | (block[here] != block[there])
             x, y = cid[here[good]], cid[there[good]]
             found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
-            if len(found) > 64:
-                found = [np.unique(np.concatenate(found), axis=0)]
+            held += len(x)
+            if held > HELD_PAIRS:  # a pair that shares several lists is kept once
+                found, held = [np.unique(np.concatenate(found), axis=0)], 0
         both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
 
@@ -329,6 +333,18 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return now.select(F.col("u").alias("cid"), F.col("v").alias("label"))
 
 
+def merged(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Groups ``labels`` (cid, label) joined by further ``links`` (a, b), each group being one node."""
+    ends = links
+    for end in ("a", "b"):
+        named = labels.select(F.col("cid").alias(end), F.col("label").alias(f"{end}_label"))
+        ends = ends.join(named, end, "left").withColumn(end, F.coalesce(f"{end}_label", end)).drop(f"{end}_label")
+    above = components(ends.select("a", "b").distinct(), scratch).select(F.col("cid").alias("node"), F.col("label").alias("top"))
+    moved = labels.join(above, F.col("label") == F.col("node"), "left").select("cid", F.coalesce("top", "label").alias("label"))
+    # A node that joined another group is a member of it as well.
+    return moved.union(above.select("node", "top")).dropDuplicates(["cid"])
+
+
 def jaccard_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n, component_id) for every row of ``docs`` (doc_id, text)."""
     scratch = Scratch(docs.sparkSession)
@@ -344,10 +360,12 @@ def jaccard_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     labels = components(first, scratch)
     rows = sets.select("cid", "n", "r", F.posexplode("prefix").alias("pos", "p")).select("cid", "n", "r", "pos", "p.token", "p.level")
     labelled = rows.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    mixed = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    open_rows = labelled.join(mixed.select("token"), "token", "left_semi")
+    mixed = labelled.groupBy("token").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.min("cid").alias("leader")
+    ).filter("low < high")
+    open_rows = labelled.join(mixed.select("token", "leader"), "token")
     second = checked(list_pairs(open_rows, percent, 1 << bits), sets, percent, scratch, "rest")
-    groups = components(first.union(second), scratch)
+    groups = merged(labels, second, scratch)
     member = sets.select("cid", "digest").join(groups, "cid").join(classes.select("digest", "doc_id"), "digest")
     named = member.groupBy("label").agg(F.min("doc_id").alias("name"))
     # The label's own class is a member too: it is the end of its edges, not a row of the groups.
