@@ -192,6 +192,23 @@ def test_aligned_edits_are_edit_distances(texts):
             assert found and found[0][3] <= edit_distance(D.normalized(item)[0].tolist(), D.normalized(planted)[0].tolist())
 
 
+@pytest.mark.parametrize("length, edits", [(100, 0), (100, 6), (60, 0), (60, 3)])
+def test_parts_of_items_at_every_offset(texts, length, edits):
+    item = D.normalized(texts(70, 45))[0].tolist()[:233]
+    search, rng = D.Searcher([(7, "".join(map(chr, item)))]), random.Random(length + edits)
+    for first in range(len(item) - length + 1):
+        part = item[first : first + length]
+        for p in [9 * k + 5 for k in range(edits)] if first % 2 else [length // 2 + k for k in range(edits)]:
+            part[p] = rng.choice([ord("0"), ord("1")])
+        found = search.search(f"{'+ qq ' * 9}{''.join(map(chr, part))}{' zz -' * 9}")
+        assert any(e <= edits and b - a >= length for _, a, b, e in found), first
+
+
+def test_parts_below_the_least_length_match_nothing(texts):
+    item = "".join(map(chr, D.normalized(texts(70, 45))[0].tolist()[:233]))
+    assert D.Searcher([(7, item)]).search(f"{'+ qq ' * 9}{item[80:130]}{' zz -' * 9}") == []
+
+
 def test_clean_texts_match_nothing(texts):
     search = D.Searcher([(i, texts(i, 30)) for i in range(20)])
     assert all(search.search(" ".join(reversed(texts(i, 400).split()))) == [] for i in range(5))

@@ -1,9 +1,11 @@
 """Find benchmark passages in documents, with a few edits, by counting shared q-grams.
 
-Items are cut into overlapping segments. Within ``e`` edits, a segment of ``m`` characters keeps at
-least ``m - q + 1 - q * e`` of its q-grams, and their diagonals (place in the text minus place in the
-segment) differ by at most ``e``. So shared q-grams are counted in overlapping bands of diagonals, and
-only bands that reach the bound are aligned, within the band, against their segment.
+A match is a whole short item, or a part of a longer one that has one of the lengths ``PARTS`` and
+starts anywhere. Within ``e`` edits, a part of ``m`` characters keeps at least ``m - q + 1 - q * e`` of
+its q-grams, and their diagonals (place in the text minus place in the item) differ by at most ``e``.
+Parts that start within ``STEP`` characters share one segment, which reaches to the end of the last of
+them. Shared q-grams are counted in overlapping bands of diagonals of each segment; in bands that reach
+the bound they are counted for every part, and the parts that reach it are aligned within the band.
 
 Texts and items are compared as lower-cased letters and digits, anything else being one space.
 
@@ -27,12 +29,16 @@ from tidemark.llm.shingles import mixed
 
 Q = 12
 SEGMENT, STEP = 100, 50
+# Lengths of the parts of longer items: a part of 100 characters may hold 6 edits anywhere, and one of
+# 60, about ten words, may hold 3.
+PARTS = (SEGMENT, 60)
 PERCENT = 6  # edits allowed for a hundred characters
 LEAST = 2 * Q
 # Items are searched in blocks of at most so many characters, which bounds what a task holds.
 BLOCK_CHARACTERS = 2_000_000
 TEXT_SLICE = 1_500_000
 FILTER_BITS = 22
+CANDIDATES = 4_096  # aligned together
 
 _BASE = 0x9E3779B97F4A7C15 | 5
 
@@ -95,7 +101,10 @@ class Searcher:
 
     @cached_property
     def segments(self) -> list[tuple[int, int, np.ndarray]]:
-        """(item, start, codes): whole short items, and overlapping parts of longer ones."""
+        """(item, length of its parts, codes): whole short items, and places where parts of longer ones start.
+
+        A segment of ``c`` codes holds the parts that start at its first ``c - length + 1`` places.
+        """
         out, seen = [], set()
         for i, (_, text) in enumerate(self.items):
             codes, _ = normalized(text.strip())
@@ -106,8 +115,10 @@ class Searcher:
             if len(codes) < LEAST or codes.tobytes() in seen:
                 continue
             seen.add(codes.tobytes())
-            last = max(0, len(codes) - SEGMENT)
-            out += [(i, s, codes[s : s + SEGMENT]) for s in sorted({*range(0, last, STEP), last})]
+            for length in sorted({min(n, len(codes)) for n in PARTS}):
+                last = len(codes) - length
+                starts = sorted({*range(0, last, STEP), last})
+                out += [(i, length, codes[s : max(s + 1, e) + length - 1]) for s, e in zip(starts, [*starts[1:], last + 1])]
         return out
 
     @cached_property
@@ -125,11 +136,16 @@ class Searcher:
 
     @cached_property
     def limits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Length, edit budget and least number of shared q-grams of each segment."""
-        m = np.array([len(c) for _, _, c in self.segments], np.int64)
+        """Length, edit budget and least number of shared q-grams of the parts of each segment."""
+        m = np.array([n for _, n, _ in self.segments], np.int64)
         e = np.array([budget(n) for n in m.tolist()], np.int64)
         return m, e, m - Q + 1 - Q * e
 
+    @cached_property
+    def starts(self) -> np.ndarray:
+        """Number of parts of each segment."""
+        return np.array([len(c) - n + 1 for _, n, c in self.segments], np.int64)
+
     def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in the text, segment, place in the segment) of all shared q-grams."""
         keys, first, segment, place, maybe = self.index
@@ -142,19 +158,21 @@ class Searcher:
         pick = np.repeat(first[where] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
         return np.repeat(at, counts), segment[pick], place[pick]
 
-    def candidates(self, at: np.ndarray, segment: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(segment, first diagonal) of the bands that hold enough shared q-grams.
+    def candidates(
+        self, at: np.ndarray, segment: np.ndarray, place: np.ndarray
+    ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(segment, first diagonal, shared q-grams of each of its parts) of the bands that hold enough.
 
         Bands are ``2 (e + 1)`` wide and start every ``e + 1``, so diagonals that differ by at most
         ``e`` always lie in one band together.
         """
-        _, edits, least = self.limits
+        lengths, edits, least = self.limits
         half = edits[segment] + 1
         low = (at - place) // half
         band = np.concatenate([low, low - 1])
-        both, spot = np.concatenate([segment, segment]), np.concatenate([at, at])
+        both, spot, inner = (np.concatenate([x, x]) for x in (segment, at, place))
         order = np.lexsort((spot, band, both))
-        s, b, p = both[order], band[order], spot[order]
+        s, b, p, inner = both[order], band[order], spot[order], inner[order]
         new = np.ones(len(s), bool)
         new[1:] = (s[1:] != s[:-1]) | (b[1:] != b[:-1])
         fresh = new.copy()
@@ -162,24 +180,67 @@ class Searcher:
         group = np.cumsum(new) - 1
         counts = np.bincount(group[fresh], minlength=int(group[-1]) + 1 if len(group) else 0)
         head = np.flatnonzero(new)
-        enough = counts >= least[s[head]]
-        found = head[enough]
-        return s[found], b[found] * (edits[s[found]] + 1)
-
-    def aligned(self, codes: np.ndarray, segment: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Fewest edits of each candidate within its band, and the text position where it ends.
-
-        All candidates advance together, one segment character at a time; cell d of a row is the
-        text position ``row + diagonal - e + d``.
+        found = np.flatnonzero(counts >= least[s[head]])
+        ends = np.append(head[1:], len(s))
+        for a in range(0, len(found), CANDIDATES):
+            some = found[a : a + CANDIDATES]
+            sizes = ends[some] - head[some]
+            rows = np.repeat(np.arange(len(some)), sizes)
+            pick = np.repeat(head[some] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+            here = s[head[some]]
+            shared = np.zeros((len(some), SEGMENT + STEP), np.int64)
+            shared[rows, inner[pick] + 1] = 1  # a place of the segment counts once
+            shared = shared.cumsum(axis=1)
+            starts = np.arange(STEP)[None, :]
+            stops = np.minimum(starts + lengths[here][:, None] - Q + 1, shared.shape[1] - 1)
+            parts = np.take_along_axis(shared, stops, axis=1) - shared[:, :STEP]
+            parts[starts >= self.starts[here][:, None]] = -1
+            yield here, b[head[some]] * (edits[here] + 1), parts
+
+    def best_parts(
+        self, codes: np.ndarray, segment: np.ndarray, diagonal: np.ndarray, shared: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Fewest edits of the parts of each candidate, and the text position where the first such part ends.
+
+        The part that shares most is aligned first; of the others only those that may have fewer edits,
+        as each edit costs at most ``Q`` shared q-grams.
+        """
+        m, e, least = self.limits
+        bound = np.where(shared >= least[segment][:, None], -(-(m[segment][:, None] - Q + 1 - shared) // Q), 1 << 20)
+        top = shared.argmax(axis=1)
+        edits, end = np.full(len(segment), 1 << 20), np.zeros(len(segment), np.int64)
+        row, first = np.arange(len(segment)), top
+        possible = bound[row, top] <= e[segment]
+        row, first = row[possible], first[possible]
+        for _ in range(2):
+            for a in range(0, len(row), CANDIDATES):
+                r, f = row[a : a + CANDIDATES], first[a : a + CANDIDATES]
+                cost, stop = self.aligned(codes, segment[r], diagonal[r], f)
+                order = np.lexsort((f, cost, r))
+                lead = order[np.concatenate([[True], r[order][1:] != r[order][:-1]])]
+                lead = lead[cost[lead] < edits[r[lead]]]
+                edits[r[lead]], end[r[lead]] = cost[lead], stop[lead]
+            better = bound < np.minimum(edits, e[segment] + 1)[:, None]
+            better[np.arange(len(segment)), top] = False
+            row, first = np.nonzero(better)
+        return edits, end
+
+    def aligned(
+        self, codes: np.ndarray, segment: np.ndarray, diagonal: np.ndarray, first: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Fewest edits of each part, which starts at ``first``, within its band, and the text position where it ends.
+
+        All candidates advance together, one item character at a time; cell d of a row is the
+        text position ``row + diagonal + first - e + d``.
         """
         m, e, _ = self.limits
         most = int(e[segment].max())
         width = 4 * (most + 1)
         rows = int(m[segment].max())
         pattern = np.full((len(segment), rows), 1 << 24, np.int64)
-        for k, s in enumerate(segment.tolist()):
-            pattern[k, : m[s]] = self.segments[s][2]
-        shift = diagonal - most
+        for k, (s, a) in enumerate(zip(segment.tolist(), first.tolist())):
+            pattern[k, : m[s]] = self.segments[s][2][a : a + m[s]]
+        shift = diagonal + first - most
         steps = np.arange(width)
         text = np.concatenate([codes.astype(np.int64), [-1]])
         cost = np.zeros((len(segment), width), np.int64)  # a match may start anywhere in the band
@@ -192,7 +253,7 @@ class Searcher:
             through = cost + (letter != pattern[:, row : row + 1])
             through[~inside] = 1 << 20
             drop = np.full_like(cost, 1 << 20)
-            drop[:, :-1] = cost[:, 1:] + 1  # a segment character without partner
+            drop[:, :-1] = cost[:, 1:] + 1  # an item character without partner
             cost = np.minimum(through, drop)
             cost = np.minimum.accumulate(cost - steps, axis=1) + steps  # text characters without partner
             done = np.flatnonzero(m[segment] == row + 1)
@@ -203,19 +264,17 @@ class Searcher:
         return edits, np.clip(end, 0, len(codes))
 
     def search(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item, start, end, edits) of the matches, one per item segment, in code points of ``text``."""
+        """(item, start, end, edits) of the matches, the best part of each segment, in code points of ``text``."""
         if not self.segments:
             return []
         codes, origin = normalized(text)
         at, segment, place = self.hits(codes)
         if len(at) < int(self.limits[2].min()):
             return []
-        segment, diagonal = self.candidates(at, segment, place)
+        m, e, _ = self.limits
         out = {}
-        for a in range(0, len(segment), 4096):
-            seg, dia = segment[a : a + 4096], diagonal[a : a + 4096]
-            edits, end = self.aligned(codes, seg, dia)
-            m, e, _ = self.limits
+        for seg, dia, shared in self.candidates(at, segment, place):
+            edits, end = self.best_parts(codes, seg, dia, shared)
             for k in np.flatnonzero(edits <= e[seg]):
                 s, stop = int(seg[k]), int(end[k])
                 start = max(0, min(stop - int(m[s]), len(codes) - 1))
