@@ -58,6 +58,25 @@ def test_empty_and_mixed_lengths(spark):
         C.nearest(df, F.col("vec_id") == 0)
 
 
+def test_queries_away_from_a_tight_cluster_find_k(spark):
+    rng = np.random.default_rng(8)
+    one = rng.normal(size=64)
+    rows = [(1000 * i + 1, (one + rng.uniform(-0.01, 0.01, 64)).tolist()) for i in range(600)]
+    rows += [(1000 * i, rng.normal(size=64).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    got = {}
+    for r in C.nearest(df, F.col("vec_id") % 1000 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert len(got) == 60 and all(len(v) == 5 for v in got.values())
+    # Without the other queries' vectors nothing but the cluster can be found.
+    few = df.filter("vec_id % 1000 = 1 OR vec_id = 7000").unionByName(spark.createDataFrame([(0, (-one).tolist())], df.schema))
+    want = exact([tuple(r) for r in few.collect()], every=1000)
+    got = {}
+    for r in C.nearest(few, F.col("vec_id") % 1000 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got[0] == [i for i, _ in want[0]] and len(got[7000]) == 5
+
+
 def test_hadamard_is_a_rotation():
     x = np.random.default_rng(0).normal(size=(5, 7))
     y = C.rotated(x, 3)

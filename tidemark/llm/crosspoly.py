@@ -3,7 +3,8 @@
 A table rotates unit vectors pseudo-randomly (three rounds of random signs and a fast Hadamard
 transform) and assigns each to the nearest signed axis. Rows enter their own bucket of every table;
 queries also visit the buckets of their next-nearest axes. Each bucket ranks its rows for its queries
-exactly and hands on the best few, which are merged over buckets and tables.
+exactly and hands on the best few, which are merged over buckets and tables. Queries that meet fewer
+than ``k`` rows so visit all axes of one table, which hold every row once.
 
 Equal vectors are one entry that keeps the smallest ids (as many as can appear in an answer), so a
 vector that makes up a third of the table is a single entry. Buckets are cut into blocks of bounded
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Scratch
 
 TABLES, PROBES, SEED = 8, 16, 20_011
+ALL_AXES = 1 << 30
 BLOCK_ROWS = 4_096  # rows of a bucket that are ranked at once
 QUERY_BLOCK = 2_048
 
@@ -123,17 +125,6 @@ def nearest(
     )
     queries = clean.filter(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumnRenamed("vec_id", "query_id")
 
-    index = buckets(entries, tables, 1)
-    visits = buckets(queries, tables, probes)
-    # Cut every bucket into blocks; its queries meet each of them.
-    cut = index.groupBy("tab", "axis").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-    index = index.join(F.broadcast(cut), ["tab", "axis"]).withColumn(
-        "block", F.pmod(F.xxhash64("vector"), F.col("blocks")).cast("int")
-    ).drop("blocks")
-    visits = visits.join(F.broadcast(cut), ["tab", "axis"]).select(
-        "*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    ).drop("blocks")
-
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
@@ -152,11 +143,31 @@ def nearest(
         order = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
         return order.groupby("query_id").head(k).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    ranked = index.groupBy("tab", "axis", "block").cogroup(visits.groupBy("tab", "axis", "block")).applyInPandas(
-        best, "query_id long, score double, vec_id long"
-    )
-    merged = ranked.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
-        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"
-    )
+    index = buckets(entries, tables, 1)
+    # Cut every bucket into blocks; its queries meet each of them.
+    cut = index.groupBy("tab", "axis").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    index = index.join(F.broadcast(cut), ["tab", "axis"]).withColumn(
+        "block", F.pmod(F.xxhash64("vector"), F.col("blocks")).cast("int")
+    ).drop("blocks")
+
+    def search(asked: DataFrame, rows: DataFrame, tables: int, probes: int) -> DataFrame:
+        visits = buckets(asked, tables, probes).join(F.broadcast(cut), ["tab", "axis"]).select(
+            "*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+        ).drop("blocks")
+        ranked = rows.groupBy("tab", "axis", "block").cogroup(visits.groupBy("tab", "axis", "block")).applyInPandas(
+            best, "query_id long, score double, vec_id long"
+        )
+        merged = ranked.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
+            "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"
+        )
+
+    found = scratch.write(search(queries, index, tables, probes), "found")
+    full = found.filter(F.col("rank") == k).select("query_id")
+    # The axes of a table share out all rows: no query is left with fewer rows than there are candidates.
+    short = scratch.write(queries.join(full, "query_id", "left_anti"), "short")
+    if short.isEmpty():
+        return found
+    again = search(short, index.filter(F.col("tab") == 0), 1, ALL_AXES)
+    return found.join(full, "query_id", "left_semi").select(*found.columns).unionByName(again)
