@@ -77,6 +77,23 @@ def test_queries_away_from_a_tight_cluster_find_k(spark):
     assert got[0] == [i for i, _ in want[0]] and len(got[7000]) == 5
 
 
+def test_ties_of_unequal_vectors_go_to_the_smaller_id(spark):
+    rng = np.random.default_rng(5)
+    one = rng.integers(1, 9, 8).astype(float)
+    ids = rng.permutation(np.arange(1, 61)).tolist()
+    rows = [(0, one.tolist())] + [(i, (one * m).tolist()) for m, i in enumerate(ids, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    got = C.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 2, 3, 4, 5] and {r["score"] for r in got} == {1.0}
+
+
+def test_equal_cosines_are_equal_numbers():
+    rng = np.random.default_rng(6)
+    one = np.array([3, 1, 4, 1, 5, 9, 2, 6.0, 5, 3, 5])
+    rows = np.stack([rng.permutation(one) * m for m in (1, 3, 7, 1e3) for _ in range(200)])
+    assert len(set(C.cosines(rows, np.ones(11)))) == 1
+
+
 def test_hadamard_is_a_rotation():
     x = np.random.default_rng(0).normal(size=(5, 7))
     y = C.rotated(x, 3)

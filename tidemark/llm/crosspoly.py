@@ -77,6 +77,19 @@ def unit_rows(column: pd.Series) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows divided by powers of two, which is exact, in extended precision."""
+    _, power = np.frexp(np.abs(vectors).max(axis=1, keepdims=True))
+    return np.ldexp(vectors, -power).astype(np.longdouble)
+
+
+def cosines(vectors: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Cosine of each row and a vector; equal cosines come out equal where products and sums are exact."""
+    x, y = scaled(vectors), scaled(one[None, :])[0]
+    dot = (x * y).sum(axis=1)
+    return (np.sign(dot) * np.sqrt(dot * dot / ((x * x).sum(axis=1) * (y * y).sum()))).astype(np.float64)
+
+
 def buckets(entries: DataFrame, tables: int, probes: int) -> DataFrame:
     """Add (tab, axis) rows: each entry under its ``probes`` nearest axes in every table."""
     names = entries.columns
@@ -129,16 +142,18 @@ def nearest(
         out = []
         if len(left) and len(right):
             rows, ids = unit_rows(left["vector"]), left["ids"].to_numpy()
-            keep = min(k + 4, len(rows))  # rounding may swap near ties; the exact pass below decides
+            vectors, smallest = np.stack(left["vector"].to_numpy()), np.array([i[0] for i in ids], np.int64)
+            keep = min(k + 1, len(rows))  # one of them may be the query itself
+            margin = 8 * (rows.shape[1] + 8) * np.finfo(np.float64).eps
             for at in range(0, len(right), QUERY_BLOCK):
                 part = right.iloc[at : at + QUERY_BLOCK]
-                asked = unit_rows(part["vector"])
-                scores = asked @ rows.T
-                top = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
-                for q, unit, found in zip(part["query_id"], asked, top):
-                    exact = (rows[found] * unit).sum(axis=1)
-                    for score, row in zip(exact, found):
-                        out += [(q, score, i) for i in ids[row] if i != q]
+                scores = unit_rows(part["vector"]) @ rows.T
+                least = np.partition(scores, len(rows) - keep, axis=1)[:, len(rows) - keep] - margin
+                for q, vector, row_scores, low in zip(part["query_id"], part["vector"], scores, least):
+                    near = np.flatnonzero(row_scores >= low)  # rounding may swap near ties
+                    exact = cosines(vectors[near], np.asarray(vector))
+                    for n in np.lexsort((smallest[near], -exact))[:keep]:
+                        out += [(q, exact[n], i) for i in ids[near[n]] if i != q]
         found = pd.DataFrame(out, columns=["query_id", "score", "vec_id"])
         order = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
         return order.groupby("query_id").head(k).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
