@@ -148,6 +148,24 @@ def test_poisson_tail():
         assert T.poisson_tail(r, mean) == pytest.approx(want, rel=1e-6, abs=1e-12)
 
 
+def test_poisson_tail_of_many():
+    assert T.poisson_tail(50, 100.0) == pytest.approx(1.0, abs=1e-6)
+    assert 0 < T.poisson_tail(200, 100.0) < 1e-15
+    assert T.poisson_tail(1000, 1000.0) == pytest.approx(0.5, abs=0.01)
+    assert 0 < T.poisson_tail(1300, 1000.0) < 1e-15 and T.poisson_tail(800, 1000.0) == pytest.approx(1.0)
+    assert T.poisson_tail(100_000, 100_000.0) == pytest.approx(0.5, abs=0.01)
+
+
+def test_many_moderate_segments_weigh_together():
+    for expected, found in ((100, 200), (1000, 1500)):
+        words = 40 * found
+        model = T.Model({}, 1.0, expected / words * 2.718281828459045)
+        segments = [(40 * i, 40 * i + 1, 1.0) for i in range(found)]
+        assert model.expected(1.0, words) == pytest.approx(expected)
+        assert model.tail(segments, words) < 1e-15
+        assert model.tail(segments[: expected // 2], words) > 0.5
+
+
 def test_toxicity_on_held_out_labels(spark):
     folder = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{folder}/labels.parquet")

@@ -118,26 +118,31 @@ class Model:
         best = 1.0
         for r, (_, _, score) in enumerate(sorted(segments, key=lambda s: -s[2]), 1):
             mean = self.expected(score, words)
-            if mean > 0:
+            if mean <= 0:
+                return 0.0
+            # No tail from a count below the median is under one half.
+            if best > 0.5 or r > mean - math.log(2):
                 best = min(best, poisson_tail(r, mean))
-            else:
-                best = 0.0
-            if r >= 50:  # the tail only falls further; the score is 1 to many digits by then
-                break
         return best
 
 
 def poisson_tail(r: int, mean: float) -> float:
-    """P(N >= r) for a Poisson mean, summed from the term of r upwards."""
-    if mean > 700:
+    """P(N >= r) for a Poisson mean, summed away from the mean: from the term of r upwards, or as the
+    complement of the terms below r downwards. Either way terms fall, and none is lost in a difference."""
+    if r <= 0:
         return 1.0
-    term = math.exp(-mean + r * math.log(mean) - math.lgamma(r + 1))
-    total, k = 0.0, r
-    while term > total * 1e-17 and k < r + 10_000:
+    upwards = r > mean
+    k = r if upwards else r - 1
+    term, total = math.exp(-mean + k * math.log(mean) - math.lgamma(k + 1)), 0.0
+    while k >= 0 and term > total * 1e-17:
         total += term
-        k += 1
-        term *= mean / k
-    return min(1.0, total)
+        if upwards:
+            k += 1
+            term *= mean / k
+        else:
+            term *= k / mean
+            k -= 1
+    return min(1.0, total) if upwards else max(0.0, 1.0 - total)
 
 
 def count_features(texts: DataFrame) -> DataFrame:
