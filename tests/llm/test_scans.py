@@ -175,6 +175,13 @@ def test_toxicity_on_held_out_labels(spark):
     assert hits > 0.95 and caught > 0.85
 
 
+def test_features_where_tasks_hold_no_labelled_row(spark):
+    one = spark.createDataFrame([("Vile words, vile", 1)], "text string, label int").repartition(8)
+    got = {r["feature"]: (r["toxic"], r["clean"]) for r in T.count_features(one).collect()}
+    assert got["vile"] == (1, 0) and got["word*"] == (1, 0)
+    assert T.count_features(one.filter("label = 0")).count() == 0
+
+
 def test_toxicity_edges(spark, edge, empty):
     nothing = T.fit(edge, spark.createDataFrame([], "doc_id long, label int"))
     rows = T.score_documents(edge, nothing).collect()

@@ -175,7 +175,9 @@ def count_features(texts: DataFrame) -> DataFrame:
                             forms[name] |= bit
                 if len(held[0]) + len(held[1]) > HELD_FEATURES:
                     yield counted()
-        yield counted()
+        # A task without labelled rows yields nothing: a frame without rows has no column types.
+        if held[0] or held[1]:
+            yield counted()
 
     each = texts.mapInPandas(counts, "feature string, toxic long, clean long, forms long")
     return each.groupBy("feature").agg(
