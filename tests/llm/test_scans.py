@@ -106,6 +106,20 @@ def test_secrets_query_listing(spark, tmp_path):
     assert got[2]["spans"] == "" and got[2]["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_secrets_query_columns(spark, tmp_path):
+    texts = [*SECRETS, None, "", " ; ".join(SECRETS), SECRETS[0] * 3]
+    rows = [(i, t, "en", f"o{i % 3}") for i, t in enumerate(texts)] + [(0, SECRETS[0], "en", None), (None, SECRETS[1], None, "o1")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    names = S.KINDS[: S.BASE]
+    want = []
+    for i, t, _, _ in rows:
+        base = base_secrets(t or "")
+        listed = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in base).encode()
+        want.append((i, *[sum(k == n for _, k, _ in base) for n in range(S.BASE)], hashlib.sha256(listed).hexdigest()))
+    got = queries.op8_secret_ownership(spark, str(tmp_path)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_secrets_empty_table(empty):
     assert S.find_secrets(empty, "source", ["source", "lang"]).count() == 0
 
