@@ -12,21 +12,35 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Bytes of a table's estimated size for each hash range.
 RANGE_BYTES = 8_000_000
 
 
+# Planners name sizes they know nothing about with numbers beyond any table.
+UNKNOWN_BYTES = 1 << 60
+
+
+def bits_for(size: int) -> int:
+    """Bits of a hash that name its range: one range for every ``RANGE_BYTES``, 16 at least."""
+    return max(4, (-(-size // RANGE_BYTES) - 1).bit_length())
+
+
 def range_bits(df: DataFrame) -> int:
-    """Bits of a hash that name its range, from the planner's size estimate of ``df``'s source."""
+    """Bits for ``df`` (with ``text``): from the planner's estimate, or the bytes of its texts if it has none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(4, min(22, -(-size // RANGE_BYTES) - 1).bit_length())
+    if size >= UNKNOWN_BYTES:
+        size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return bits_for(size)
 
 
-def ranges_of(sorted_hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Offsets of the ranges in an ascending array of hashes (the top ``bits`` bits)."""
+def ranges_of(sorted_hashes: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(range, start, end) of each range met in an ascending array of hashes (their top ``bits`` bits)."""
     tops = (sorted_hashes >> np.uint64(64 - bits)).astype(np.int64)
-    return np.searchsorted(tops, np.arange((1 << bits) + 1))
+    cuts = np.flatnonzero(np.diff(tops, prepend=-1, append=-1)) if len(tops) else np.zeros(1, np.int64)
+    starts = cuts[:-1]
+    return zip(tops[starts].tolist(), starts.tolist(), cuts[1:].tolist())
 
 
 def tails(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -64,8 +78,6 @@ def distinct_counts(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def requests(batch: int, distinct: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[dict]:
     """Rows for the ranges; counts above 255 travel as 255, which only the order of hashes sees."""
-    bounds = ranges_of(distinct, bits)
     tail, small = tails(distinct, bits), np.minimum(counts, 255).astype(np.uint8)
-    for r in np.flatnonzero(np.diff(bounds)):
-        a, b = bounds[r], bounds[r + 1]
-        yield {"range": int(r), "batch": batch, "tails": tail[a:b].tobytes(), "counts": pack(small[a:b])}
+    for r, a, b in ranges_of(distinct, bits):
+        yield {"range": r, "batch": batch, "tails": tail[a:b].tobytes(), "counts": pack(small[a:b])}

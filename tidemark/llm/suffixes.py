@@ -258,18 +258,16 @@ ANSWERED = "step int, batch long, range int, result binary, differs binary"
 
 def first_requests(block: Block, bits: int) -> Iterator[dict]:
     keys, _, documents = block.first_keys()
-    bounds, tail = ranges_of(keys, bits), tails(keys, bits)
+    tail = tails(keys, bits)
     several = np.minimum(documents, 2).astype(np.uint8)
-    for r in np.flatnonzero(np.diff(bounds)):
-        a, b = bounds[r], bounds[r + 1]
-        yield {"range": int(r), "batch": block.batch, "tails": tail[a:b].tobytes(), "second": pack(several[a:b]), "ids": None}
+    for r, a, b in ranges_of(keys, bits):
+        yield {"range": r, "batch": block.batch, "tails": tail[a:b].tobytes(), "second": pack(several[a:b]), "ids": None}
 
 
 def pair_requests(block: Block, one: np.ndarray, two: np.ndarray, ids: np.ndarray, bits: int) -> Iterator[dict]:
-    bounds, tail = ranges_of(one, bits), tails(one, bits)
-    for r in np.flatnonzero(np.diff(bounds)):
-        a, b = bounds[r], bounds[r + 1]
-        yield {"range": int(r), "batch": block.batch, "tails": tail[a:b].tobytes(), "second": two[a:b].tobytes(), "ids": pack(ids[a:b])}
+    tail = tails(one, bits)
+    for r, a, b in ranges_of(one, bits):
+        yield {"range": r, "batch": block.batch, "tails": tail[a:b].tobytes(), "second": two[a:b].tobytes(), "ids": pack(ids[a:b])}
 
 
 def answer_first(part: pd.DataFrame) -> pd.DataFrame:
