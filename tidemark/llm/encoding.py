@@ -17,9 +17,13 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 # Words kept by a worker; beyond that it starts afresh. Only speed depends on it.
-KEPT_WORDS = 1_000_000
-# Bytes of text encoded at once.
+KEPT_WORDS = 150_000
+# Words encoded in one call, and bytes of text whose ids are held at once.
+CALL_WORDS, ENCODE_BYTES = 2_000, 2_000_000
+# Bytes of text handed on at once by ``text_slices``, unless its caller wants less.
 SLICE_BYTES = 8_000_000
+# Stands between the words of a call. Words that hold it are encoded one by one.
+MARK = "|"
 
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
@@ -30,6 +34,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        mark = self._ids(MARK)
+        self.mark = mark[0] if len(mark) == 1 and self._ids(f"a {MARK} b") == [*self._ids("a"), *mark, *self._ids("b")] else None
         self._reset()
 
     def _reset(self) -> None:
@@ -37,15 +43,30 @@ class WordEncoder:
         self.starts, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _call(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of ``words`` one after the other, and how many each has; one call for all where marks tell them apart."""
+        if self.mark is not None and not any(MARK in w for w in words):
+            ids = np.array(self._ids(f" {MARK} ".join(words)), np.uint32)
+            marks = np.flatnonzero(ids == self.mark)
+            if len(marks) == len(words) - 1:
+                return np.delete(ids, marks), np.diff(marks, prepend=-1, append=len(ids)) - 1
+        each = [self._ids(w) for w in words]
+        return np.array([i for ids in each for i in ids], np.uint32), np.array([len(ids) for ids in each], np.int64)
+
     def _numbers(self, words: list[str]) -> np.ndarray:
         """Row of each word in the kept table, adding the new ones."""
         if len(self.known) > KEPT_WORDS:
             self._reset()
         new = [w for w in words if w not in self.known]
         if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            counts = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum()))
+            new.sort(key=lambda w: MARK in w)
+            marked = sum(MARK in w for w in new)
+            cuts = [*range(0, len(new) - marked, CALL_WORDS), *range(len(new) - marked, len(new), CALL_WORDS), len(new)]
+            found = [self._call(new[a:b]) for a, b in zip(cuts, cuts[1:])]
+            flat, counts = (np.concatenate(x) for x in zip(*found))
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
             self.counts, self.ids = np.concatenate([self.counts, counts]), np.concatenate([self.ids, flat])
@@ -71,13 +92,13 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def text_slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """Consecutive parts of a text column, about ``SLICE_BYTES`` each; nulls become empty."""
+def text_slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """Consecutive parts of a text column, about ``size`` bytes each; nulls become empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     start = 0
     while start < len(texts):
         done = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, done + SLICE_BYTES, side="right")))
+        stop = max(start + 1, int(np.searchsorted(ends, done + size, side="right")))
         yield start, texts.slice(start, stop - start)
         start = stop

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import crosspoly, decontaminate, jaccard, licenses, mixing, records, rollups, secrets, suffixes, toxicity
+from tidemark.llm import crosspoly, decontaminate, jaccard, licenses, mixing, packing, records, rollups, secrets, suffixes, toxicity
 from tidemark.llm.common import SPACED_WORD, Scratch, table
 from tidemark.session import scratch_path
 
@@ -143,6 +143,12 @@ def op10_jaccard_groups(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
+def op11_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 2048 tokens."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return packing.pack(docs, records.default_tokenizer(), end_id=0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_license_notices": op2_license_notices,
@@ -154,4 +160,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_ownership": op8_secret_ownership,
     "op9_token_rollup": op9_token_rollup,
     "op10_jaccard_groups": op10_jaccard_groups,
+    "op11_best_fit_packing": op11_best_fit_packing,
 }
