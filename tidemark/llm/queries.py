@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import crosspoly, decontaminate, jaccard, licenses, mixing, packing, records, rollups, secrets, suffixes, toxicity
+from tidemark.llm import crosspoly, decontaminate, dialogues, jaccard, licenses, mixing, packing, records, rollups, secrets, suffixes, toxicity
 from tidemark.llm.common import SPACED_WORD, Scratch, table
 from tidemark.session import scratch_path
 
@@ -149,6 +149,25 @@ def op11_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(docs, records.default_tokenizer(), end_id=0)
 
 
+def damaged(messages: DataFrame) -> DataFrame:
+    """Messages with a twentieth each dropped, emptied, cut, repeated and given the role user, by a hash."""
+    blank = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    act = F.crc32(F.concat(blank["conv_id"], F.lit(":"), blank["turn"]).cast("binary")) % 20
+    text = F.when(F.col("act") == 1, "").when(F.col("act") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    rows = messages.select("conv_id", "turn", blank["role"].alias("role"), blank["text"].alias("text"), act.alias("act")).filter("act <> 0")
+    changed = rows.select(
+        "conv_id", "turn", F.when(F.col("act") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(F.col("act") == 3, 2).otherwise(1))).alias("copy"),
+    )
+    return changed.drop("copy")
+
+
+def op12_dialogue_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults, least cost, audit and digest of every conversation, repaired after a known damage."""
+    messages = table(spark, folder, "conversations")
+    return dialogues.complete(dialogues.repair(damaged(messages)), messages)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_license_notices": op2_license_notices,
@@ -161,4 +180,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_rollup": op9_token_rollup,
     "op10_jaccard_groups": op10_jaccard_groups,
     "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_dialogue_repair": op12_dialogue_repair,
 }
