@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import crosspoly, decontaminate, dialogues, jaccard, licenses, mixing, packing, records, rollups, secrets, suffixes, toxicity
+from tidemark.llm import alignment, crosspoly, decontaminate, dialogues, jaccard, licenses, mixing, packing, records, rollups, secrets, suffixes, toxicity
 from tidemark.llm.common import SPACED_WORD, Scratch, table
 from tidemark.session import scratch_path
 
@@ -168,6 +168,12 @@ def op12_dialogue_repair(spark: SparkSession, folder: str) -> DataFrame:
     return dialogues.complete(dialogues.repair(damaged(messages)), messages)
 
 
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers, with corpus-wide link counts."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return alignment.align(docs, *alignment.default_paths())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_license_notices": op2_license_notices,
@@ -181,4 +187,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard_groups": op10_jaccard_groups,
     "op11_best_fit_packing": op11_best_fit_packing,
     "op12_dialogue_repair": op12_dialogue_repair,
+    "op13_token_alignment": op13_token_alignment,
 }
