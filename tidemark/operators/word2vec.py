@@ -11,28 +11,33 @@ partitions or the number of documents seen at a time.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def context_pairs(docs: DataFrame, window: int) -> DataFrame:
-    """(word, context, cnt): how often two words stand at most ``window`` places apart.
+def context_pairs(docs: DataFrame, window: int, by: Sequence[str] = ()) -> DataFrame:
+    """(by, word, context, cnt): how often two words stand at most ``window`` places apart.
 
     Pairs are listed inside the row and counted before they are shuffled; a text of any length is
     one context.
     """
-    rows = docs.select("tokens", F.posexplode("tokens").alias("pos", "word"))
+    rows = docs.select(*by, "tokens", F.posexplode("tokens").alias("pos", "word"))
     near = F.slice("tokens", F.greatest(F.col("pos") - window, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(window)) + window + 1)
-    pairs = rows.select("word", "pos", F.posexplode(near).alias("at", "context"))
+    pairs = rows.select(*by, "word", "pos", F.posexplode(near).alias("at", "context"))
     other = F.col("at") != F.least(F.col("pos"), F.lit(window))
-    return pairs.filter(other).groupBy("word", "context").agg(F.count(F.lit(1)).alias("cnt"))
+    return pairs.filter(other).groupBy(*by, "word", "context").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def sign(context: Column, place: int, seed: int) -> Column:
-    """+1 or -1 by one bit of the context's hash."""
-    word = F.xxhash64(context, F.lit(seed + place // 64))
-    return (F.shiftright(word, place % 64).bitwiseAND(F.lit(1)) * 2 - 1).cast("double")
+def hashes(word: Column, size: int, seed: int) -> list[Column]:
+    """Columns h0, h1, ... of 64 sign bits each."""
+    return [F.xxhash64(word, F.lit(seed + i)).alias(f"h{i}") for i in range(-(-size // 64))]
+
+
+def sign(place: int) -> Column:
+    """+1 or -1 by one bit of the word's hashes."""
+    return (F.shiftright(F.col(f"h{place // 64}"), place % 64).bitwiseAND(F.lit(1)) * 2 - 1).cast("double")
 
 
 def train_word2vec(
@@ -45,15 +50,23 @@ def train_word2vec(
     the order of a distributed sum cannot show.
     """
     counts = docs.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    kept = counts.filter(F.col("n") >= min_count).select("word", F.col("word").alias("context"), F.lit(0.0).alias("weight"))
-    pairs = context_pairs(docs, window).select("word", "context", (1 + F.log("cnt")).alias("weight"))
+    kept = counts.filter(F.col("n") >= min_count).select("word")
+    pairs = context_pairs(docs, window)
     if min_count > 1:
-        pairs = pairs.join(kept.select("word"), "word", "left_semi")
-    rows = pairs.unionByName(kept)
-    sums = [F.sum(F.col("weight") * sign(F.col("context"), i, seed)).alias(f"s{i}") for i in range(size)]
-    summed = rows.groupBy("word").agg(*sums)
+        pairs = pairs.join(kept, "word", "left_semi")
+    return vectors_of(pairs, kept, size, seed)
+
+
+def vectors_of(pairs: DataFrame, kept: DataFrame, size: int, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
+    """(by, word, vector) out of counted ``pairs`` (by, word, context, cnt) for all words of ``kept`` (by, word)."""
+    own_rows = kept.select(*by, "word", F.col("word").alias("context"), F.lit(0.0).alias("weight"))
+    rows = pairs.select(*by, "word", "context", (1 + F.log("cnt")).alias("weight")).unionByName(own_rows)
+    sums = [F.sum(F.col("weight") * sign(i)).alias(f"s{i}") for i in range(size)]
+    hashed = rows.select(*by, "word", "weight", *hashes(F.col("context"), size, seed))
+    summed = hashed.groupBy(*by, "word").agg(*sums)
     raw = F.array(*[F.round(f"s{i}", 9) for i in range(size)])
     norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda acc, x: acc + x * x))
-    own = F.array(*[sign(F.col("word"), i, seed) / math.sqrt(size) for i in range(size)])
+    own = F.array(*[sign(i) / math.sqrt(size) for i in range(size)])
     scaled = F.when(F.col("norm") > 0, F.transform("raw", lambda x: x / F.col("norm"))).otherwise(own)
-    return summed.select("word", raw.alias("raw")).withColumn("norm", norm).select("word", scaled.cast("array<float>").alias("vector"))
+    named = summed.select(*by, "word", raw.alias("raw"), *hashes(F.col("word"), size, seed)).withColumn("norm", norm)
+    return named.select(*by, "word", scaled.cast("array<float>").alias("vector"))

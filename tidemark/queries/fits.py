@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.classifiers import fit_svm
 from tidemark.operators.metrics import metrics_table, regression_metrics
-from tidemark.operators.split import leave_one_out_cells, single_cells
+from tidemark.operators.split import single_cells
 from tidemark.operators.word2vec import train_word2vec as train_vectors
 from tidemark.plans import experiments as X
 from tidemark.queries.inputs import LEXICON, labelled, labelled_terms, lexicon, r6, train_only
 from tidemark.session import in_parallel, written
-from tidemark.sources.corpus import DOMAINS
 
 SINGLE = X.Settings(window=5)
 
@@ -76,26 +75,11 @@ def stacked_features(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def exp_single(spark: SparkSession, folder: str) -> DataFrame:
-    """Eight classifiers, three votes and the neural net on one 80/20 split."""
-    data = _single(spark, folder)
-    pred = X.with_votes(X.classify(data)).unionByName(X.neural_net(data))
-    return metrics_table(pred)
-
-
 def exp_soft_vote(spark: SparkSession, folder: str) -> DataFrame:
     """Soft vote of the eight members on stacked features."""
     return metrics_table(X.soft_vote_stacked(_single(spark, folder)))
 
 
-def exp_lodo_grid(spark: SparkSession, folder: str) -> DataFrame:
-    """The full grid with votes on every leave-one-domain-out fold."""
-    docs = written(labelled(spark, folder), "documents")
-    cells = leave_one_out_cells(DOMAINS)
-    folds = {d: [c for c in cells if c[0] == d] for d in DOMAINS}
-    return X.leave_one_out_grid(docs, folds)[1]
-
-
 def influential_words_lr(spark: SparkSession, folder: str) -> DataFrame:
     data = _single(spark, folder)
     jobs = [lambda f=f: X.logistic_words(data, f) for f in ("TF-IDF", "BOW")]
@@ -107,6 +91,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         word2vec_train, lr_predict, svm_predict, svm_calibrated, polarity_regression, mlp_predict,
-        stacked_features, exp_single, exp_soft_vote, exp_lodo_grid, influential_words_lr,
+        stacked_features, exp_soft_vote, influential_words_lr,
     )
 }

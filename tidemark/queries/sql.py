@@ -334,4 +334,9 @@ ORACLES: dict[str, str] = {
     "nemenyi_matrix": _with("pairs tails", "SELECT slice, method_a, " + ", ".join(
         f"{_r6(f"max(p) FILTER (method_b = '{f} / {m}')")} AS m{i}" for i, (f, m) in enumerate(MODELS)
     ) + " FROM pairs JOIN tails USING (q) GROUP BY slice, method_a"),
+    "grid_certificates": _with("fdocs", f"""SELECT fold, feature, model, CASE model WHEN 'SVM' THEN 5 ELSE 1 END::BIGINT AS n_models,
+        count(*) AS n_train, CAST(sum(label) AS BIGINT) AS n_positive, TRUE AS optimal
+        FROM fdocs, (VALUES {_GRID}) g(feature, model) WHERE role = 'train' AND model <> 'Naive Bayes' GROUP BY fold, feature, model"""),
+    "grid_bayes": _with("pred", f"""SELECT fold, doc_id, feature, y_true, y_pred, {_r6('score')} AS score
+        FROM pred WHERE model = 'Naive Bayes'"""),
 }
