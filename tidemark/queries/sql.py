@@ -337,6 +337,9 @@ ORACLES: dict[str, str] = {
     "grid_certificates": _with("fdocs", f"""SELECT fold, feature, model, CASE model WHEN 'SVM' THEN 5 ELSE 1 END::BIGINT AS n_models,
         count(*) AS n_train, CAST(sum(label) AS BIGINT) AS n_positive, TRUE AS optimal
         FROM fdocs, (VALUES {_GRID}) g(feature, model) WHERE role = 'train' AND model <> 'Naive Bayes' GROUP BY fold, feature, model"""),
+    "svm_certificates": _with("fdocs", """SELECT fold, feature, 5::BIGINT AS n_models, count(*) AS n_train,
+        CAST(sum(label) AS BIGINT) AS n_positive, TRUE AS optimal
+        FROM fdocs, (VALUES ('BOW'), ('TF-IDF'), ('Word2Vec')) g(feature) WHERE role = 'train' GROUP BY fold, feature"""),
     "grid_bayes": _with("pred", f"""SELECT fold, doc_id, feature, y_true, y_pred, {_r6('score')} AS score
         FROM pred WHERE model = 'Naive Bayes'"""),
 }
