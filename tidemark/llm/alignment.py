@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch
+from tidemark.llm.common import Scratch, release
 from tidemark.llm.encoding import text_slices
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -46,7 +46,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 CHUNK_BYTES, FAN = 65_536, 16
 SLICE_BYTES = 2_000_000
 # Segments a task keeps, segments encoded in one call, link counts held before they are added up.
-KEPT_SEGMENTS, CALL_SEGMENTS, HELD_LINKS = 300_000, 300, 2_000_000
+KEPT_SEGMENTS, CALL_SEGMENTS, HELD_LINKS = 200_000, 300, 1_000_000
+# Segments learned and documents scored at once.
+LEARNED, SCORED = 20_000, 500
 
 SEGMENT = re.compile(r"[ \n]+[^ \n]+")
 # White space other than the two before one of them: no place to cut, the slow way finds the others.
@@ -125,6 +127,8 @@ class Codec:
         self.length_a, self.length_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         self.most_pairs = int(self.length_a.sum() + self.length_b.sum())
         self.names_a, self.names_b = [str(i) for i in range(len(self.bytes_a))], [str(i) for i in range(len(pieces))]
+        # Link codes as they are written.
+        self.kind = np.uint32 if len(self.bytes_a) * len(self.bytes_b) <= 1 << 32 else np.int64
         # A line end keeps the model from adding its space to the text behind it.
         self.skip = len(self.b.encode("\n"))
         self.reset()
@@ -201,8 +205,8 @@ class Codec:
         if len(self.known) > KEPT_SEGMENTS:
             self.reset()
         new = list(dict.fromkeys(s for s in parts if s not in self.known))
-        if new:
-            self.learn(new)
+        for i in range(0, len(new), LEARNED):
+            self.learn(new[i : i + LEARNED])
         return np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
 
     def tokens(self, text: str, begin: int, which: str) -> tuple[Tokens, bool]:
@@ -372,7 +376,7 @@ def scanned(docs: DataFrame, path_a: str, path_b: str, chunk: int, keep: bool) -
                             text = ";".join([groups[g] for g in found[x:y].tolist()])
                             mine = codes[bounds[x] : bounds[y]]
                             row |= {n: sums[n][j] for n in sums}
-                            row |= {"groups_sha256": hashlib.sha256(text.encode()).hexdigest(), "codes": mine.tobytes()}
+                            row |= {"groups_sha256": hashlib.sha256(text.encode()).hexdigest(), "codes": mine.astype(coder.kind).tobytes()}
                             if keep:
                                 row["groups"] = text
                     kept = np.repeat(np.repeat(np.array(good, bool), counts), np.diff(bounds))
@@ -381,6 +385,7 @@ def scanned(docs: DataFrame, path_a: str, path_b: str, chunk: int, keep: bool) -
                     yield pa.RecordBatch.from_pylist(out, schema=schema)
         if links.held:
             yield pa.RecordBatch.from_pylist(links.row(), schema=schema)
+        release()
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return plain.mapInArrow(scan, ALIGNED)
@@ -458,7 +463,7 @@ def finished(found: DataFrame, path_a: str, path_b: str, keep: bool) -> DataFram
                     groups, codes = _unpacked(r).whole(coder)
                     text = ";".join(groups)
                     links.add(codes)
-                    row |= {"n_a": r.n_a, "n_b": r.n_b, "n_groups": len(codes), "codes": codes.tobytes()}
+                    row |= {"n_a": r.n_a, "n_b": r.n_b, "n_groups": len(codes), "codes": codes.astype(coder.kind).tobytes()}
                     row["groups_sha256"] = hashlib.sha256(text.encode()).hexdigest()
                     if keep:
                         row["groups"] = text
@@ -519,23 +524,24 @@ def align(docs: DataFrame, path_a: str, path_b: str, chunk: int = CHUNK_BYTES, k
     order = np.argsort(codes)
     table = spark.sparkContext.broadcast((codes[order], pairs["count"].to_numpy(np.int64)[order], pairs["best"].to_numpy(bool)[order]))
     kept = ["groups"] if keep else []
-    names = RESULT + (", groups string" if keep else "")
+    names, kind = RESULT + (", groups string" if keep else ""), coder.kind
     schema = _schema(names)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts, best = table.value
-        for batch in batches:
-            lists = [np.frombuffer(c, np.int64) for c in batch.column("codes").to_pylist()]
-            if not lists:
-                continue
-            sizes = np.array([len(c) for c in lists])
-            at = np.searchsorted(known, np.concatenate(lists))
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            sums = [np.concatenate([[0], np.cumsum(x)]) for x in ((best[at].astype(np.int64), counts[at]) if len(at) else (np.zeros(0, np.int64),) * 2)]
-            more = [pa.array(s[ends[1:]] - s[ends[:-1]]) for s in sums]
-            own = {n: batch.column(n) for n in ("doc_id", "n_a", "n_b", "n_groups", "groups_sha256", *kept)}
-            own |= {"n_links": pa.array(sizes, pa.int64()), "n_best": more[0], "count_sum": more[1]}
-            yield pa.RecordBatch.from_arrays([own[n].cast(t) for n, t in zip(schema.names, schema.types)], schema=schema)
+        for whole in batches:
+            for start in range(0, whole.num_rows, SCORED):
+                batch = whole.slice(start, SCORED)
+                lists = [np.frombuffer(c, kind) for c in batch.column("codes").to_pylist()]
+                sizes = np.array([len(c) for c in lists])
+                at = np.searchsorted(known, np.concatenate(lists).astype(np.int64))
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                own = {n: batch.column(n) for n in ("doc_id", "n_a", "n_b", "n_groups", "groups_sha256", *kept)}
+                own["n_links"] = pa.array(sizes, pa.int64())
+                for name, values in (("n_best", best), ("count_sum", counts)):
+                    total = np.concatenate([[0], np.cumsum(values[at] if len(at) else np.zeros(0, np.int64), dtype=np.int64)])
+                    own[name] = pa.array(total[ends[1:]] - total[ends[:-1]])
+                yield pa.RecordBatch.from_arrays([own[n].cast(t) for n, t in zip(schema.names, schema.types)], schema=schema)
 
     return rows.filter(F.col("kind") == DOCUMENT).select("doc_id", "n_a", "n_b", "n_groups", "groups_sha256", *kept, "codes").mapInArrow(score, names)
 
