@@ -53,6 +53,11 @@ def features(word: str) -> list[str]:
     return [word] + [f"{word[:n]}*" for n in PREFIXES if len(word) >= n]
 
 
+def heads(names) -> frozenset[str]:
+    """What a word begins with if one of the features ``names`` may be its own."""
+    return frozenset(n[: PREFIXES[0]] for n in names)
+
+
 @dataclass
 class Model:
     """Positive feature scores and the decay of segment scores in clean text."""
@@ -63,6 +68,8 @@ class Model:
 
     def __post_init__(self):
         self.memo: dict[str, float] = {}
+        # A word can only score if a scoring feature begins as it does.
+        self.heads = heads(self.scores)
 
     def __getstate__(self):
         return {"scores": self.scores, "decay": self.decay, "rate": self.rate}
@@ -86,8 +93,8 @@ class Model:
         # reached by the link, so that each candidate is looked at a bounded number of times.
         stack: list[tuple[int, int, float, float, int]] = []
         seen: dict[str, int] = {}
-        total, last = 0.0, 0
-        for i, word in enumerate(words):
+        total, last, begins, n = 0.0, 0, self.heads, PREFIXES[0]
+        for i, word in [(i, w) for i, w in enumerate(words) if w[:n] in begins]:
             score = memo.get(word)
             if score is None:
                 score = score_of(word)
@@ -190,11 +197,12 @@ def count_corpus(docs: DataFrame, wanted: frozenset[str]) -> DataFrame:
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[str, list[str]] = {}
+        begins, n = heads(wanted), PREFIXES[0]
         for batch in batches:
             held = Counter()
             for text in batch["text"]:
                 own = set()
-                for word in set(WORD.findall(text.lower())):
+                for word in {w for w in WORD.findall(text.lower()) if w[:n] in begins}:
                     found = memo.get(word)
                     if found is None:
                         if len(memo) > MEMO:
