@@ -17,9 +17,9 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 # Words kept by a worker; beyond that it starts afresh. Only speed depends on it.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 800_000
 # Words encoded in one call, and bytes of text whose ids are held at once.
-CALL_WORDS, ENCODE_BYTES = 2_000, 2_000_000
+CALL_WORDS, ENCODE_BYTES = 300, 4_000_000
 # Bytes of text handed on at once by ``text_slices``, unless its caller wants less.
 SLICE_BYTES = 8_000_000
 # Stands between the words of a call. Words that hold it are encoded one by one.
@@ -40,15 +40,14 @@ class WordEncoder:
 
     def _reset(self) -> None:
         self.known: dict[str, int] = {}
-        self.starts, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.offsets, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _call(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of ``words`` one after the other, and how many each has; one call for all where marks tell them apart."""
-        if self.mark is not None and not any(MARK in w for w in words):
+        if self.mark is not None:
             ids = np.array(self._ids(f" {MARK} ".join(words)), np.uint32)
             marks = np.flatnonzero(ids == self.mark)
             if len(marks) == len(words) - 1:
@@ -62,14 +61,15 @@ class WordEncoder:
             self._reset()
         new = [w for w in words if w not in self.known]
         if new:
-            new.sort(key=lambda w: MARK in w)
-            marked = sum(MARK in w for w in new)
-            cuts = [*range(0, len(new) - marked, CALL_WORDS), *range(len(new) - marked, len(new), CALL_WORDS), len(new)]
-            found = [self._call(new[a:b]) for a, b in zip(cuts, cuts[1:])]
-            flat, counts = (np.concatenate(x) for x in zip(*found))
+            marked = [w for w in new if MARK in w]
+            if marked:
+                new = [w for w in new if MARK not in w]
+            calls = [new[a : a + CALL_WORDS] for a in range(0, len(new), CALL_WORDS)] + [[w] for w in marked]
+            flat, counts = (np.concatenate(x) for x in zip(*map(self._call, calls)))
+            new += marked
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
-            self.counts, self.ids = np.concatenate([self.counts, counts]), np.concatenate([self.ids, flat])
+            self.offsets = np.concatenate([self.offsets, len(self.ids) + np.cumsum(counts)])
+            self.ids = np.concatenate([self.ids, flat])
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -77,13 +77,14 @@ class WordEncoder:
         split = pc.ascii_split_whitespace(texts)
         bounds = split.offsets.to_numpy().astype(np.int64)
         words = split.flatten().dictionary_encode()
-        rows = self._numbers(words.dictionary.to_pylist())[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
-        counts = self.counts[rows]
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        gather = np.arange(total) + np.repeat(self.starts[rows] - (ends - counts), counts)
-        offsets = np.concatenate([[0], ends])[bounds - bounds[0]]
-        return self.ids[gather], offsets
+        if not len(words):
+            return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
+        rows = self._numbers(words.dictionary.to_pylist())
+        # The ids of the distinct words here, then those of all words in order.
+        own = pa.LargeListArray.from_arrays(self.offsets, self.ids).take(pa.array(rows))
+        ids = own.take(words.indices)
+        ends = ids.offsets.to_numpy()
+        return ids.values.to_numpy()[ends[0] : ends[-1]], (ends - ends[0])[bounds - bounds[0]]
 
 
 def encoder(path: str) -> WordEncoder:
