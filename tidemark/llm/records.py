@@ -27,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch
-from tidemark.llm.encoding import encoder, text_slices
+from tidemark.llm.common import Scratch, release
+from tidemark.llm.encoding import ENCODE_BYTES, encoder, text_slices
 from tidemark.session import scratch_path
 
 SHARD_WORDS = 4_000_000  # words of four bytes after which a shard is closed: 16 MB
@@ -172,16 +172,13 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         part, roll = TaskContext.get().partitionId(), 0
-        frames, index, tokens, held = [], [], 0, 0
+        name, out, index, tokens, held = "", None, [], 0, 0
 
         def close() -> pa.RecordBatch:
-            name = f"{part:06d}-{roll:04d}-{uuid.uuid4().hex}"
-            with store.open_output_stream(f"{root}/{name}.rec") as out:
-                for words in frames:
-                    out.write(words.astype("<u4").tobytes())
+            out.close()
             rows = np.concatenate(index)
-            with store.open_output_stream(f"{root}/{name}.idx") as out:
-                out.write(rows.astype("<i8").tobytes())
+            with store.open_output_stream(f"{root}/{name}.idx") as file:
+                file.write(rows.astype("<i8").tobytes())
             return pa.RecordBatch.from_pylist(
                 [{"part": part, "roll": roll, "path": f"{folder}/{name}", "records": len(rows), "tokens": tokens}],
                 schema=pa.schema([("part", pa.int32()), ("roll", pa.int32()), ("path", pa.string()), ("records", pa.int64()), ("tokens", pa.int64())]),
@@ -189,21 +186,26 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
         for batch in batches:
             keys = batch.column("doc_id").to_pylist()
-            for at, texts in text_slices(batch.column("text")):
+            for at, texts in text_slices(batch.column("text"), ENCODE_BYTES):
                 ids, bounds = coder.encode(texts)
                 ids = np.insert(ids, bounds[1:], end_id)
                 bounds = bounds + np.arange(len(bounds))
                 own = keys[at : at + len(texts)]
                 words, starts, lengths = frame(own, ids, bounds, narrow)
                 plain = np.array([0 if k is None else k for k in own], np.int64)
+                if out is None:
+                    name = f"{part:06d}-{roll:04d}-{uuid.uuid4().hex}"
+                    out = store.open_output_stream(f"{root}/{name}.rec")
+                # Frames leave the task as they are made; only their index is held.
+                out.write(words.astype("<u4", copy=False).data)
                 index.append(np.stack([plain, 4 * (held + starts), 4 * lengths], axis=1))
-                frames.append(words)
                 held, tokens = held + len(words), tokens + len(ids)
                 if held >= SHARD_WORDS:
                     yield close()
-                    roll, frames, index, tokens, held = roll + 1, [], [], 0, 0
-        if frames:
+                    roll, out, index, tokens, held = roll + 1, None, [], 0, 0
+        if out is not None:
             yield close()
+        release()
 
     return Scratch(spark).write(ordered.mapInArrow(write, SHARDS), "shards")
 
