@@ -5,7 +5,7 @@ from itertools import combinations
 
 import numpy as np
 
-from tidemark.llm.jaccard import components, differing_bits, jaccard_groups, list_pairs, parity_bits
+from tidemark.llm.jaccard import components, derived, differences, differing_bits, jaccard_groups, list_pairs, parity_bits
 from tidemark.llm.common import Scratch
 
 UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -72,10 +72,77 @@ def test_bitmaps_bound_the_difference():
         assert differing_bits(parity_bits(x), parity_bits(y)) <= len(set(x.tolist()) ^ set(y.tolist()))
 
 
-def test_long_lists_are_cut_into_blocks(spark):
-    rows = [(1, 0, 13, 0, c, 20, 20, c) for c in range(300)]
-    df = spark.createDataFrame(rows, "token long, leader long, level int, pos int, cid long, n long, r long, label long")
-    assert list_pairs(df, 75, 4).count() == 300 * 299 // 2
+LISTED = "key long, cid long, label long, rest long, weight long, kind int, close boolean"
+
+
+def test_long_lists_are_cut_into_parts(spark):
+    rows = [(1, c, max(0, 30 - c), 20, -3000, 1, True) for c in range(9000)]
+    got = list_pairs(spark.createDataFrame(rows, LISTED), 75, 4)
+    assert got.count() == 30 * 29 // 2 + 30 * 8970
+
+
+def test_positions_and_kinds(spark):
+    rng = np.random.default_rng(3)
+    rows = [
+        (int(k), c, int(rng.integers(0, 40)), int(rng.integers(1, 60)), -int(rng.integers(2000, 9000)), int(rng.integers(0, 3)), bool(rng.integers(0, 2)))
+        for k in (1, 2, 3) for c in range(120)
+    ]
+    want = set()
+    for x, y in combinations(rows, 2):
+        if x[0] == y[0] and x[2] != y[2] and (x[6] or y[6]) and (x[5], y[5]) not in {(0, 0), (1, 2), (2, 1), (2, 2)}:
+            if 350 * min(x[3], y[3]) + x[4] + y[4] >= 0:
+                want.add((min(x[1], y[1]), max(x[1], y[1])))
+    got = list_pairs(spark.createDataFrame(rows, LISTED), 75, 4).collect()
+    assert want and {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_copies_around_a_text_that_is_not_there(spark, texts):
+    """Edits of two templates, many of which link to a few others only, and sets that differ in length."""
+    rows, base = [], texts(9, 100).split()
+    second = base[:60] + texts(10, 40).split()
+    for k in range(260):
+        rng = np.random.default_rng(k)
+        words = list((base, second)[k % 2][: 100 - k % 23])
+        for p in rng.integers(0, len(words), k % 6):
+            words[p] = f"x{int(rng.integers(0, 3))}"
+        rows.append((k, " ".join(words)))
+    check(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), rows)
+
+
+def test_derived_answers_find_all_links(spark):
+    """Without links to leaders beforehand, scores and differences alone must find the groups."""
+    rng = np.random.default_rng(8)
+    core, sets = rng.integers(1, 1 << 62, 90, dtype=np.uint64), []
+    for k in range(150):
+        keep = core[rng.random(90) > 0.002 * k]
+        sets.append(np.unique(np.concatenate([keep, rng.integers(1, 12 + 2 * k, k // 8).astype(np.uint64)])))
+    # Each set says it has three shingles more than are shared, as sets with own shingles do.
+    frame = spark.createDataFrame([(k, len(s) + 3, s.tobytes()) for k, s in enumerate(sets)], "cid long, n long, tokens binary")
+    for leader in (0, 60, 140):
+        apart = differences(frame.selectExpr("cid", f"{leader}L AS leader"), frame, 75)
+        known, rows = derived(apart, spark.createDataFrame([], "cid long, label long"), 75)
+        pairs = {tuple(r) for r in known.collect()}, {tuple(r) for r in list_pairs(rows, 75, 3).collect()}
+        size = [len(s) + 3 for s in sets]
+
+        def overlap(a, b):
+            return len(np.intersect1d(sets[a], sets[b]))
+
+        def linked(a, b):
+            return 175 * overlap(a, b) >= 75 * (size[a] + size[b])
+
+        close = [100 * overlap(k, leader) >= 50 * (size[k] + size[leader] - overlap(k, leader)) for k in range(150)]
+        assert all(linked(a, b) for a, b in pairs[0])
+        root = list(range(150))
+
+        def find(k):
+            while root[k] != k:
+                k = root[k]
+            return k
+
+        for a, b in pairs[0] | {p for p in pairs[1] if linked(*p)}:
+            root[find(a)] = find(b)
+        wanted = [(a, b) for a, b in combinations(range(150), 2) if linked(a, b) and (close[a] or close[b])]
+        assert len(wanted) > 300 and all(find(a) == find(b) for a, b in wanted)
 
 
 def test_components(spark):

@@ -7,12 +7,19 @@ The steps skip what earlier answers already decide:
 2. Index lists. The shared shingles of a class are ordered from rare to common; two linked classes
    share one of the first few (the prefix). Lists are sorted by set size and cut where sizes or
    positions can no longer reach the similarity.
-3. Leaders. Each class is first compared with a few leaders of its lists. Classes that link to a
-   leader have its group, and inherit its answers: they are not compared with each other any more.
-4. The rest. Pairs of different groups on a list are compared: first by bitmaps, whose differing
-   bits bound the overlap from above, then exactly.
-
-Lists too long for a task are cut into blocks, each pair of blocks being a task of its own.
+3. Leaders. Each class is first compared with a few leaders of its lists, the classes made of the
+   most common shingles. Classes that link to a leader have its group.
+4. Derived answers. On a list that still holds several groups, each class is compared once with the
+   list's leader C and then described by what sets it apart from C: shingles added, shingles left out.
+   Since ``|x & y| = |x & C| + |y & C| - |C| + |differences of x and y in common|``, most answers
+   follow from the leader's without looking at the other set; those that do not must have differences
+   in common, and these, not the shingles, are indexed. A set far from C has no link to one close to C
+   (Jaccard distance is a metric), so only sets of similar distance meet.
+5. Sets far from their lists' leaders meet on the lists themselves. Both kinds of lists are sorted by
+   position and cut into blocks; pairs of blocks whose positions leave too small an overlap are skipped
+   unread. What remains is compared by bitmaps, whose differing bits bound the overlap, then exactly.
+
+Lists too long for a task are cut into parts, each pair of parts being a task of its own.
 
 Defined results: a null or empty text has an empty set, links with nothing and is its own group;
 rows with equal ``doc_id`` are separate documents of the same name; equal texts of fewer words than a
@@ -34,9 +41,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Scratch
 from tidemark.llm.encoding import text_slices
 from tidemark.llm.exchange import distinct_counts, pack, range_bits, requests, totals, unpack
-from tidemark.llm.shingles import shingle_sets
+from tidemark.llm.shingles import mixed, shingle_sets
 
 LEADERS, LEADER_TOKENS = 4, 4
+SKIP_ROWS = 32  # rows of an index list that are skipped or read together
 HELD_PAIRS = 500_000
 BLOCK_LEVEL = 12  # lists of 2^12 and more classes are cut into blocks of about 2^11
 
@@ -131,7 +139,7 @@ def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 # --- 2. index lists ------------------------------------------------------------------------------
 
-SETS = "cid long, digest binary, n long, r long, tokens binary, bits binary, prefix array<struct<token:long,level:int>>"
+SETS = "cid long, digest binary, n long, r long, central long, tokens binary, bits binary, prefix array<struct<token:long,level:int>>"
 
 
 def class_sets(docs: DataFrame, viable: DataFrame, batches: int) -> DataFrame:
@@ -202,9 +210,9 @@ def indexed_sets(packed: DataFrame, bits: int, percent: int) -> DataFrame:
                 prefix = [{"token": int(t), "level": int(v)} for t, v in zip(own[order].view(np.int64), rank[order])]
                 out.append({
                     "cid": cid, "digest": row.digests[16 * i : 16 * i + 16], "n": n, "r": r,
-                    "tokens": own.tobytes(), "bits": parity_bits(own), "prefix": prefix,
+                    "central": int(rank.sum(dtype=np.int64)) * 1000 // n, "tokens": own.tobytes(), "bits": parity_bits(own), "prefix": prefix,
                 })
-        return pd.DataFrame(out, columns=["cid", "digest", "n", "r", "tokens", "bits", "prefix"])
+        return pd.DataFrame(out, columns=["cid", "digest", "n", "r", "central", "tokens", "bits", "prefix"])
 
     asked = packed.select("batch", "tokens").mapInPandas(send, "range int, batch long, tails binary, counts binary")
     answered = asked.groupBy("range").applyInPandas(answer, "batch long, range int, levels binary")
@@ -225,7 +233,7 @@ def differing_bits(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ folded).sum())
 
 
-# --- 3. and 4. pairs -----------------------------------------------------------------------------
+# --- 3. to 5. pairs -----------------------------------------------------------------------------
 
 
 def checked(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
@@ -255,54 +263,147 @@ def checked(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, n
 
 
 def leader_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each class with the leaders (smallest ids) of its most common prefix shingles."""
-    rows = sets.select("cid", "n", F.explode(F.slice(F.reverse("prefix"), 1, LEADER_TOKENS)).alias("p")).select(
-        "cid", "n", "p.token"
+    """Pairs of each class with the leaders of its most common prefix shingles: the classes whose own
+    shingles are the most common, which sit in the middle of their near copies."""
+    rows = sets.select("cid", "n", "central", F.explode(F.slice(F.reverse("prefix"), 1, LEADER_TOKENS)).alias("p")).select(
+        "cid", "n", "central", "p.token"
     )
-    order = Window.partitionBy("token").orderBy("cid")
+    order = Window.partitionBy("token").orderBy(F.desc("central"), "cid")
     leaders = rows.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= LEADERS).select(
         "token", F.col("cid").alias("leader"), F.col("n").alias("leader_n")
     )
     near = 100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n")
-    both = rows.join(leaders, "token").filter((F.col("cid") > F.col("leader")) & near)
-    return both.select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
+    both = rows.join(leaders, "token").filter((F.col("cid") != F.col("leader")) & near)
+    return both.select(F.least("cid", "leader").alias("a"), F.greatest("cid", "leader").alias("b")).distinct()
+
+
+DIFFERENCES = "leader long, cid long, reference long, score long, close boolean, tokens binary"
+
+
+def differences(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """What sets each class apart from a leader, for ``rows`` (cid, leader).
+
+    ``score`` is ``(100 + percent) |x & C| - percent |x|`` and ``reference`` ``(100 + percent) |C|``, C being
+    the leader's shared shingles: x and y are linked just if ``(100 + percent)`` times the number of their
+    common differences reaches ``reference - score(x) - score(y)``. ``close``: no class that is further from
+    the leader than three times the allowed distance can be linked to x; such classes have no ``tokens``.
+    """
+    own = sets.select("cid", "n", F.col("tokens").alias("own"))
+    led = sets.select(F.col("cid").alias("leader"), F.col("n").alias("leader_n"), F.col("tokens").alias("led"))
+
+    def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            out = []
+            for row in p.itertuples():
+                x, c = np.frombuffer(row.own, np.uint64), np.frombuffer(row.led, np.uint64)
+                # Sets are ascending; added shingles come first, they are the rarer ones.
+                missing = ~np.isin(c, x, assume_unique=True)
+                both = len(c) - int(missing.sum())
+                union = row.n + row.leader_n - both
+                within = 100 * both >= (3 * percent - 200) * union
+                apart = np.concatenate([x[~np.isin(x, c, assume_unique=True)], c[missing]]).tobytes() if within else None
+                out.append((row.leader, row.cid, (100 + percent) * len(c), (100 + percent) * both - percent * row.n,
+                            100 * both >= (2 * percent - 100) * union, apart))
+            yield pd.DataFrame(out, columns=["leader", "cid", "reference", "score", "close", "tokens"])
+
+    return rows.join(own, "cid").join(led, "leader").mapInPandas(compare, DIFFERENCES)
+
+
+LISTED = "key long, cid long, label long, rest long, weight long, kind int, close boolean"
+
+
+def derived(apart: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links that follow from the leaders' answers, and the index rows of pairs that stay open.
+
+    The class with the highest score of a leader is linked to each class that any other is known to be
+    linked to by scores alone, so links to that one class stand for all of them.
+    """
+    within = apart.filter(F.col("tokens").isNotNull())
+    first = within.groupBy("leader").agg(F.max(F.struct("score", "cid")).alias("top")).select(
+        "leader", F.col("top.score").alias("best"), F.col("top.cid").alias("middle")
+    )
+    scored = within.join(first, "leader").withColumn("known", F.col("score") + F.col("best") >= F.col("reference"))
+    links = scored.filter("known and cid <> middle").select(F.least("cid", "middle").alias("a"), F.greatest("cid", "middle").alias("b"))
+    one = 100 + percent
+
+    def index(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            kept, keys, rest, kind = [], [], [], []
+            for at, row in enumerate(p.itertuples()):
+                tokens = np.frombuffer(row.tokens, np.uint64)
+                # Differences that a partner must share: one that is not known, and any partner at all.
+                unknown = (row.best - row.score) // one + 1
+                least = unknown if row.known else max(1, -((row.score + row.best - row.reference) // one))
+                length = max(0, len(tokens) - least + 1)
+                pos = np.arange(length)
+                kept.append(np.full(length, at))
+                keys.append(mixed(tokens[:length] ^ np.uint64(row.leader)).view(np.int64))
+                rest.append(len(tokens) - pos)
+                kind.append(np.where(row.known, 0, np.where(pos < len(tokens) - max(least, unknown) + 1, 1, 2)))
+            if kept:
+                rows = p[["cid", "label", "close"]].assign(weight=2 * p["score"] - p["reference"]).iloc[np.concatenate(kept)]
+                yield rows.assign(key=np.concatenate(keys), rest=np.concatenate(rest), kind=np.concatenate(kind).astype(np.int32))
+
+    named = scored.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    return links, named.mapInPandas(index, LISTED)
 
 
 def list_pairs(rows: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Pairs of different groups on an index list that sizes and positions allow.
+    """Pairs of different groups on an index list that positions allow.
 
-    ``rows``: (token, leader, level, pos, cid, n, r, label). Lists with the same leader (smallest
-    class) mostly hold the same classes: they are worked on together, so that a pair that shares
-    several of them is compared once.
+    ``rows``: (key, cid, label, rest, weight, kind, close); a pair is possible if ``2 (100 + percent)`` times the
+    smaller ``rest`` (entries from this one on) reaches minus the sum of the weights. Pairs of kinds 0 and 0
+    are known, kind 2 meets kind 0 only, and one of the two is close.
     """
-    blocks = F.when(F.col("level") < BLOCK_LEVEL, F.lit(1)).otherwise(F.pow(F.lit(2), F.col("level") - BLOCK_LEVEL + 1))
-    own = rows.withColumn("blocks", blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"),
+                                    F.max("kind").alias("open")).filter("low < high and open > 0").select("key", "size")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / (1 << BLOCK_LEVEL - 1)) - F.lit(1))
+    own = rows.join(sizes, "key").withColumn("blocks", blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     # A row meets its own block and every other: as the first of the two, or as the second.
     placed = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
     )
-    keyed = placed.withColumn("part", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("leader"), F.lit(parts))).otherwise(F.xxhash64("leader", "blocks", "i", "j")))
+    keyed = placed.withColumn("part", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(parts))).otherwise(F.xxhash64("key", "i", "j")))
+    one = 2 * (100 + percent)
 
     def pairs(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["token", "i", "j", "n", "cid"])
-        token, cid, n, r, pos, label, block = (part[c].to_numpy() for c in ("token", "cid", "n", "r", "pos", "label", "own"))
-        i, j = part["i"].to_numpy(), part["j"].to_numpy()
-        found, held, here, step = [], 0, np.arange(len(part)), 0
+        part = part.sort_values(["key", "i", "j", "rest", "cid"])
+        cid, rest, weight, label, kind, block = (part[c].to_numpy() for c in ("cid", "rest", "weight", "label", "kind", "own"))
+        close, same = part["close"].to_numpy(bool), part["i"].to_numpy() == part["j"].to_numpy()
+        _, number = np.unique(np.stack([part[c].to_numpy() for c in ("key", "i", "j")]), axis=1, return_inverse=True)
+        # Runs of a list's rows in order of position: what the best row of a run cannot reach, none can.
+        first = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+        within = np.arange(len(number)) - np.repeat(first, np.diff(np.r_[first, len(number)]))
+        start = np.flatnonzero(within % SKIP_ROWS == 0)
+        end, listed = np.r_[start[1:], len(number)], number[start]
+        top_rest, top_weight = np.maximum.reduceat(rest, start), np.maximum.reduceat(weight, start)
+        low, high = np.minimum.reduceat(label, start), np.maximum.reduceat(label, start)
+        found, held, here, step = [], 0, np.arange(len(start)), 0
         while len(here):
-            step += 1
-            here = here[here + step < len(part)]
+            here = here[here + step < len(start)]
+            here = here[listed[here] == listed[here + step]]
             there = here + step
-            # Lists are sorted by size: a row whose partner is too large has no further partner.
-            on = (token[here] == token[there]) & (i[here] == i[there]) & (j[here] == j[there]) & (100 * n[here] >= percent * n[there])
-            here, there = here[on], there[on]
-            most = 1 + np.minimum(r[here] - pos[here] - 1, r[there] - pos[there] - 1)
-            good = (label[here] != label[there]) & (most >= overlap_needed(n[here], n[there], percent))
-            good &= (i[here] == j[here]) | (block[here] != block[there])
-            x, y = cid[here[good]], cid[there[good]]
-            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
-            held += len(x)
-            if held > HELD_PAIRS:  # a pair that shares several lists is kept once
-                found, held = [np.unique(np.concatenate(found), axis=0)], 0
+            step += 1
+            read = one * np.minimum(top_rest[here], top_rest[there]) + top_weight[here] + top_weight[there] >= 0
+            read &= (low[here] != high[there]) | (high[here] != low[there])
+            left, right = here[read], there[read]
+            for at in range(0, len(left), 512):
+                b, c = left[at : at + 512], right[at : at + 512]
+                # Every row of a run with every row of the other, SKIP_ROWS squared at most.
+                wide = end[c] - start[c]
+                count = (end[b] - start[b]) * wide
+                k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                wide = np.repeat(wide, count)
+                x, y = np.repeat(start[b], count) + k // wide, np.repeat(start[c], count) + k % wide
+                good = (x < y) & (label[x] != label[y]) & (close[x] | close[y]) & (kind[x] + kind[y] > 0)
+                good &= (kind[x] == 0) | (kind[y] == 0) | (kind[x] + kind[y] == 2)
+                good &= one * np.minimum(rest[x], rest[y]) + weight[x] + weight[y] >= 0
+                good &= same[x] | (block[x] != block[y])
+                x, y = cid[x[good]], cid[y[good]]
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+                held += len(x)
+                if held > HELD_PAIRS:  # a pair that shares several lists is kept once
+                    found, held = [np.unique(np.concatenate(found), axis=0)], 0
         both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
 
@@ -358,13 +459,21 @@ def jaccard_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     scratch.drop([packed])
     first = checked(leader_pairs(sets, percent), sets, percent, scratch, "leaders")
     labels = components(first, scratch)
-    rows = sets.select("cid", "n", "r", F.posexplode("prefix").alias("pos", "p")).select("cid", "n", "r", "pos", "p.token", "p.level")
+    rows = sets.select("cid", "n", "r", "central", F.posexplode("prefix").alias("pos", "p")).select("cid", "n", "r", "central", "pos", "p.token")
     labelled = rows.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    mixed = labelled.groupBy("token").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.min("cid").alias("leader")
-    ).filter("low < high")
-    open_rows = labelled.join(mixed.select("token", "leader"), "token")
-    second = checked(list_pairs(open_rows, percent, 1 << bits), sets, percent, scratch, "rest")
+    undecided = labelled.groupBy("token").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("central", "cid")).alias("top")
+    ).filter("low < high").select("token", F.col("top.cid").alias("leader"))
+    open_rows = scratch.write(labelled.join(undecided, "token"), "open")
+    apart = scratch.write(differences(open_rows.select("cid", "leader").distinct(), sets, percent), "differences")
+    known, near = derived(apart, labels, percent)
+    far = open_rows.join(apart.filter("not close").select("cid", "leader"), ["cid", "leader"]).select(
+        F.xxhash64("token").alias("key"), "cid", "label", (F.col("r") - F.col("pos")).alias("rest"),
+        (-2 * percent * F.col("n")).alias("weight"), F.lit(1).alias("kind"), F.lit(True).alias("close"),
+    )
+    open_pairs = list_pairs(near, percent, 1 << bits).union(list_pairs(far, percent, 1 << bits)).distinct()
+    second = checked(open_pairs, sets, percent, scratch, "rest").union(known)
+    scratch.drop([open_rows])
     groups = merged(labels, second, scratch)
     member = sets.select("cid", "digest").join(groups, "cid").join(classes.select("digest", "doc_id"), "digest")
     named = member.groupBy("label").agg(F.min("doc_id").alias("name"))
