@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.functions.stoplists import GENERAL, PROFILES
 from tidemark.functions.text import NOT_LETTER_OR_SPACE, TAG
+from tidemark.queries import kernels
 from tidemark.queries.inputs import LEXICON, MODELS, NUDGE, PROFILE, VOCABULARY
 
 
@@ -343,3 +344,11 @@ ORACLES: dict[str, str] = {
     "grid_bayes": _with("pred", f"""SELECT fold, doc_id, feature, y_true, y_pred, {_r6('score')} AS score
         FROM pred WHERE model = 'Naive Bayes'"""),
 }
+
+
+def _composed(needs: str, pieces: str, select: str) -> str:
+    """The select, preceded by named pieces and by further ones of its own."""
+    return ",\n".join(filter(None, [_with(needs, "").rstrip(), pieces])) + f"\n{select}"
+
+
+ORACLES |= kernels.oracles(_composed)
