@@ -22,7 +22,7 @@ def test_roc_auc_with_ties(spark):
     rows = [(f, rng.randint(0, 1), round(rng.random() ** 3, d)) for f, d in (("a", 1), ("b", 6)) for _ in range(400)]
     rows += [("c", 1, 0.5)] * 5
     df = spark.createDataFrame(rows, "fold string, y_true int, score double")
-    got = {r["fold"]: r["auc"] for r in roc_auc(df, BY, slices=7).collect()}
+    got = {r["fold"]: r["auc"] for r in roc_auc(df, BY, per_range=30).collect()}
     for f in "ab":
         pos = [s for g, y, s in rows if g == f and y == 1]
         neg = [s for g, y, s in rows if g == f and y == 0]

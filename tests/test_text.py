@@ -7,7 +7,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.functions.labels import above, code_of, encode_labels, map_values
+from tidemark.functions.labels import above, code_of, map_values
+from tidemark.operators.ordering import encode_values
 from tidemark.functions.stoplists import GENERAL, PAIR_PROFILES, PROFILES
 from tidemark.functions.text import clean_tokens, join_words, pad_front
 from tidemark.operators.stopwords import stop_table, without_stop_words
@@ -85,7 +86,7 @@ def test_pad_front(spark, n):
 
 def test_labels(spark):
     df = spark.createDataFrame([(1, "Positive"), (2, "Negative"), (3, "Positive"), (None, None)], "v int, s string")
-    rows = encode_labels(df.withColumn("m", map_values(F.col("v"), {1: 0, 2: 1})), "s")
+    rows = encode_values(df.withColumn("m", map_values(F.col("v"), {1: 0, 2: 1})), "s")
     got = [(r["v"], r["m"], r["label"]) for r in rows.collect()]
     assert sorted(got, key=str) == sorted([(1, 0, 1), (2, 1, 0), (3, None, 1), (None, None, None)], key=str)
     coded = df.select(code_of(F.col("s"), ["Positive", "Negative"]).alias("c")).collect()

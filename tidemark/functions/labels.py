@@ -1,10 +1,10 @@
-"""Label mapping and encoding."""
+"""Label mapping."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -22,17 +22,6 @@ def code_of(col: Column, classes: Sequence[str]) -> Column:
     return F.when(position > 0, (position - 1).cast("int"))
 
 
-def encode_labels(df: DataFrame, column: str, out: str = "label") -> DataFrame:
-    """Index of each value among the sorted distinct values of ``column``.
-
-    The distinct values (the classes, a handful in a label column) are gathered into one
-    sorted array by an aggregate with map-side combine. A scalar subquery hands that array to
-    every row, so nothing is sorted, ranked or joined over the data.
-    """
-    classes = df.agg(F.array_sort(F.collect_set(column)).alias("classes")).scalar()
-    return df.withColumn(out, (F.array_position(classes, F.col(column)) - 1).cast("int"))
-
-
 def above(score: Column, threshold: float = 0.5) -> Column:
     """1 where the score lies above the threshold, else 0."""
     return (score > threshold).cast("int")

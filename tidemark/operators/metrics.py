@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.session import written
+from tidemark.operators.ordering import PER_RANGE, running_sums
 
 RUN = ("fold", "feature", "model")
 
@@ -103,45 +102,18 @@ def regression_metrics(pred: DataFrame, by: Sequence[str] = RUN) -> DataFrame:
     return sums.select(*by, "mse", F.sqrt("mse").alias("rmse"), "mae", r2.alias("r2"))
 
 
-def roc_auc(pred: DataFrame, by: Sequence[str] = RUN, positive: int = 1, slices: int = 64) -> DataFrame:
-    """Area under the ROC curve, exact, with ties counted half.
+def roc_auc(pred: DataFrame, by: Sequence[str] = RUN, positive: int = 1, per_range: int = PER_RANGE) -> DataFrame:
+    """Area under the ROC curve, exact, with ties counted half; NULL where one class is missing.
 
-    Rows are first reduced to counts per distinct score. The running count of negatives is
-    then taken in ``slices`` score ranges: within a range by a window, and across ranges by
-    their totals. No task sorts more than its range, however many distinct scores there are.
-    The range bounds are approximate quantiles; they steer the load and not the result. Counts
-    and bounds are written down: the predictions are computed once, and a task that runs again
-    uses the same bounds.
+    Rows are first reduced to counts per distinct score. The negatives below each score are then running sums over
+    ranges of scores, as many as the number of distinct scores asks for, so no task sorts more than its range.
     """
     is_pos = F.col("y_true") == positive
-    counts = written(
-        pred.groupBy(*by, "score").agg(
-            F.sum(F.when(is_pos, 1.0).otherwise(0.0)).alias("pos"),
-            F.sum(F.when(is_pos, 0.0).otherwise(1.0)).alias("neg"),
-        ),
-        "score-counts",
-    )
-    cuts = F.array(*[F.lit(i / slices) for i in range(1, slices)])
-    bounds = written(counts.groupBy(*by).agg(F.percentile_approx("score", cuts, F.lit(10_000)).alias("cuts")), "cuts")
-    sliced = counts.join(F.broadcast(bounds), list(by)).withColumn(
-        "slice", F.size(F.filter("cuts", lambda b: b < F.col("score")))
-    ).drop("cuts")
-    totals = sliced.groupBy(*by, "slice").agg(F.sum("pos").alias("slice_pos"), F.sum("neg").alias("slice_neg"))
-    run = W.partitionBy(*by)
-    before = run.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(
-        *by,
-        "slice",
-        F.coalesce(F.sum("slice_neg").over(before), F.lit(0.0)).alias("offset"),
-        F.sum("slice_pos").over(run).alias("all_pos"),
-        F.sum("slice_neg").over(run).alias("all_neg"),
-    )
-    inside = W.partitionBy(*by, "slice").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("neg").over(inside), F.lit(0.0))
-    placed = sliced.withColumn("below", below).join(F.broadcast(offsets), [*by, "slice"])
-    pairs = F.col("all_pos") * F.col("all_neg")
-    return (
-        placed.groupBy(*by, "all_pos", "all_neg")
-        .agg(F.sum(F.col("pos") * (F.col("offset") + F.col("below") + F.col("neg") / 2)).alias("won"))
-        .select(*by, F.when(pairs > 0, F.col("won") / pairs).alias("auc"))
+    counts = pred.groupBy(*by, "score").agg(
+        F.sum(F.when(is_pos, 1.0).otherwise(0.0)).alias("pos"),
+        F.sum(F.when(is_pos, 0.0).otherwise(1.0)).alias("neg"),
     )
+    placed = running_sums(counts, ["score"], {"below": F.col("neg")}, by, per_range)
+    won = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
+    sums = placed.groupBy(*by).agg(won.alias("won"), (F.sum("pos") * F.sum("neg")).alias("pairs"))
+    return sums.select(*by, F.when(F.col("pairs") > 0, F.col("won") / F.col("pairs")).alias("auc"))

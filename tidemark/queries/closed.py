@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.labels import above, encode_labels, map_values
+from tidemark.functions.labels import above, map_values
 from tidemark.functions.stoplists import GENERAL, PROFILES
 from tidemark.functions.text import clean_tokens, clean_tokens_by_profile, join_words, long_tokens
 from tidemark.operators.explain import influential_words as most_influential
@@ -16,6 +16,7 @@ from tidemark.operators import metrics as M
 from tidemark.operators import ranks as R
 from tidemark.operators import sequences as S
 from tidemark.operators.naive_bayes import fold_terms
+from tidemark.operators.ordering import encode_values, mid_ranks
 from tidemark.operators.naive_bayes import nb_model as fit_nb
 from tidemark.operators.split import (
     all_pairs,
@@ -23,6 +24,7 @@ from tidemark.operators.split import (
     hash_part,
     leave_one_out_cells,
     single_cells,
+    split_exactly,
     transfer_cells,
 )
 from tidemark.operators.stopwords import keep_words, stop_table, without_stop_words
@@ -150,7 +152,20 @@ def map_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 def encode_roles(spark: SparkSession, folder: str) -> DataFrame:
     rows = read_table(spark, folder, "conversations").select("conv_id", "turn", "role")
-    return encode_labels(rows, "role")
+    return encode_values(rows, "role").withColumn("label", F.col("label").cast("int"))
+
+
+def encode_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """Index of each word among all sorted words of the labelled documents: a code list as long as the vocabulary."""
+    words = exploded_terms(labelled_terms(spark, folder), "doc_id")
+    return encode_values(words.select("doc_id", "term"), "term", "code")
+
+
+def term_mid_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean rank of each count among all counts of terms, within its domain."""
+    totals = term_totals(labelled_terms(spark, folder), ["domain"])
+    ranks = mid_ranks(totals, "cnt", ["domain"])
+    return ranks.select("domain", "cnt", "n", r6(F.col("rank")).alias("rank"))
 
 
 def threshold(spark: SparkSession, folder: str) -> DataFrame:
@@ -164,6 +179,16 @@ def train_test_split(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", hash_part(F.col("doc_id")).alias("part"))
 
 
+def exact_split(spark: SparkSession, folder: str) -> DataFrame:
+    """One fifth of the documents of each source, rounded up, are test documents."""
+    return split_exactly(read_table(spark, folder, "documents"), "doc_id", ["source"]).select("doc_id", "source", "part")
+
+
+def exact_split_plain(spark: SparkSession, folder: str) -> DataFrame:
+    """One fifth of all labelled documents, rounded up, are test documents."""
+    return split_exactly(read_table(spark, folder, "labels"), "doc_id").select("doc_id", "part")
+
+
 def lodo_folds(spark: SparkSession, folder: str) -> DataFrame:
     docs = labelled(spark, folder).select("domain", "part", "doc_id", "label")
     folds = fold_table(spark, leave_one_out_cells(DOMAINS))
@@ -421,6 +446,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         load_headered, load_positional, load_reviews, predictions_files, score_file, corpus, filter_labels, map_labels, threshold, train_test_split,
+        exact_split, exact_split_plain, encode_terms, term_mid_ranks,
         lodo_folds, clean_text, clean_html, clean_chats, clean_text_domain, doc_tokens, doc_terms,
         stopword_anti_join, stopword_union, bow_counts, vocabulary_topk, idf, bow_transform,
         tfidf_transform, word_index, token_sequences, padded_sequences, doc_vectors_pooled,

@@ -224,6 +224,12 @@ _GRID = ", ".join(
     if (f, m) != ("Word2Vec", "Naive Bayes")
 )
 
+
+def _exact(columns: str, table: str, by: str = "") -> str:
+    return f"""SELECT {columns}, CASE WHEN row_number() OVER ({by} ORDER BY substr(md5(CAST(doc_id AS VARCHAR) || '-42'), 1, 15))
+        <= ceil(count(*) OVER ({by}) / 5) THEN 'test' ELSE 'train' END AS part FROM {table}"""
+
+
 ORACLES: dict[str, str] = {
     "load_headered": "SELECT doc_id, source, length(text) AS n_chars, md5(text) AS digest FROM documents",
     "load_positional": """SELECT doc_id, quality AS label, md5(text) AS digest
@@ -250,6 +256,12 @@ ORACLES: dict[str, str] = {
     "threshold": """SELECT vec_id, CAST(dim AS INTEGER) AS dim, CASE WHEN v > 0.5 THEN 1 ELSE 0 END AS flag FROM (
         SELECT vec_id, unnest(range(len(embedding))) AS dim, unnest(embedding) AS v FROM embeddings)""",
     "train_test_split": f"SELECT doc_id, {_PART} AS part FROM documents",
+    "exact_split": _exact("doc_id, source", "documents", "PARTITION BY source"),
+    "exact_split_plain": _exact("doc_id", "labels"),
+    "encode_terms": _with("counts", "SELECT doc_id, term, dense_rank() OVER (ORDER BY term) - 1 AS code FROM counts"),
+    "term_mid_ranks": _with("counts", f"""SELECT domain, cnt, count(*) AS n, {_r6('any_value(r) + (count(*) - 1) / 2')} AS rank FROM (
+        SELECT domain, cnt, rank() OVER (PARTITION BY domain ORDER BY cnt) AS r FROM (
+            SELECT domain, term, CAST(sum(tf) AS BIGINT) AS cnt FROM counts GROUP BY ALL)) GROUP BY domain, cnt"""),
     "lodo_folds": _with("docs lodo", "SELECT fold, role, domain, doc_id, label FROM docs JOIN lodo USING (domain, part)"),
     "clean_text": _with("alldocs", f"SELECT doc_id, {_joined('tokens')} AS clean FROM alldocs"),
     "clean_html": f"SELECT page_id, {_joined(_tokens('html'))} AS clean FROM pages",

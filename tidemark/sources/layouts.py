@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.labels import code_of, encode_labels, map_values
+from tidemark.functions.labels import code_of, map_values
+from tidemark.operators.ordering import encode_values
 from tidemark.session import written
 
 
@@ -70,7 +71,7 @@ class Layout:
         if self.classes:
             df = df.withColumn("__label", code_of(F.col(self.label), self.classes))
         elif self.encode:
-            df = encode_labels(df, self.label, "__label")
+            df = encode_values(df, self.label, "__label").withColumn("__label", F.col("__label").cast("int"))
         elif self.mapping:
             df = df.withColumn("__label", map_values(F.col(self.label), self.mapping))
         else:
