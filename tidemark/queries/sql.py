@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 from tidemark.functions.stoplists import GENERAL, PROFILES
-from tidemark.functions.text import NOT_LETTER_OR_SPACE, TAG
 from tidemark.queries import kernels
 from tidemark.queries.inputs import LEXICON, MODELS, NUDGE, PROFILE, VOCABULARY
 
 
+# The cleaning rules stated anew, so that a fault in the library's own patterns shows.
+_TAG = r"<[^>\n]*>"
+_DROPPED = r"[^a-z\t-\r\x1c-\x1f\x{85}\p{Z}]+"
+
+
 def _list(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(set(words)))
 
 
 def _letters(text: str) -> str:
     return (
-        f"regexp_replace(regexp_replace(lower(coalesce({text}, '')), '{TAG}', '', 'g'), "
-        f"'{NOT_LETTER_OR_SPACE}', '', 'g')"
+        f"regexp_replace(regexp_replace(lower(coalesce({text}, '')), '{_TAG}', '', 'g'), "
+        f"'{_DROPPED}', '', 'g')"
     )
 
 
