@@ -166,3 +166,28 @@ def test_grid_learns_the_planted_words(spark, docs):
     assert X.neural_net(data).count() == n_test and X.regress(data).count() == 3 * n_test
     words = X.logistic_words(data, "BOW", 1).collect()
     assert {(r["side"], r["term"]) for r in words} == {("positive", "fine"), ("negative", "poor")}
+
+
+def test_tfidf_bayes_weighs_and_scores_inside_the_row(spark):
+    """Rows of one document count as one, documents without known words get the prior, and no term is listed as a row."""
+    rows = [("a", 1, 1, "train", ["fine", "fine", "day"]), ("a", 1, 1, "train", ["fine", "song"]), ("a", 2, 0, "train", ["poor", "day"]),
+            ("a", 3, 0, "train", []), ("a", 4, 1, "test", ["fine", "day"]), ("a", 4, 1, "test", ["poor"]), ("a", 5, 0, "test", ["other"]), ("a", 6, 0, "test", [])]
+    docs = written(document_terms(spark.createDataFrame(rows, "domain string, doc_id bigint, label int, part string, tokens array<string>")), "docs")
+    pred = C.nb_tfidf(docs, single_cells(["a"]))
+    assert "Generate" not in pred._jdf.queryExecution().optimizedPlan().toString()
+    n, df = 4, {"day": 2, "fine": 2, "poor": 1, "song": 1}
+    idf = {w: np.log((1 + n) / (1 + d)) + 1 for w, d in df.items()}
+
+    def weights(*counts):
+        raw = [(w, tf * idf[w]) for w, tf in counts]
+        norm = np.sqrt(sum(x * x for _, x in raw))
+        return [(w, x / norm) for w, x in raw]
+
+    seen = {1: weights(("fine", 2), ("day", 1), ("fine", 1), ("song", 1)), 0: weights(("poor", 1), ("day", 1))}
+    logs = {}
+    for c, own in seen.items():
+        sums = {w: sum(x for v, x in own if v == w) for w in df}
+        logs[c] = {w: np.log((s + 1) / (sum(sums.values()) + len(df))) for w, s in sums.items()}
+    expected = {i: 0.0 + sum(x * (logs[1][w] - logs[0][w]) for w, x in own) for i, own in ((4, weights(("fine", 1), ("day", 1), ("poor", 1))), (5, []), (6, []))}
+    found = {r["doc_id"]: r["margin"] for r in pred.collect()}
+    assert found == pytest.approx(expected, abs=1e-8)
