@@ -17,20 +17,17 @@ from pyspark.ml.classification import (
     NaiveBayes,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression, LinearRegressionModel
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.margins import STEPS, LinearMargin, Passes, margins_of, svm_weights
 from tidemark.operators.naive_bayes import decide
 from tidemark.operators.split import hash_bucket
-from tidemark.session import in_parallel
+from tidemark.session import in_parallel, written
 
 Scorer = Callable[[DataFrame], DataFrame]
 
-# Step lengths tried along a Newton direction.
-STEPS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01)
-
-
 def class_sizes(train: DataFrame) -> dict[int, int]:
     return {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
 
@@ -70,50 +67,14 @@ def fit_logistic(train: DataFrame, features: str, iterations: int = 1000, tolera
 NORMAL_WIDTH = 4096
 
 
-class LinearMargin:
-    """A linear score as a weighted sum of fitted linear models, evaluated inside the row."""
-
-    def __init__(self, parts: list[tuple[LinearRegressionModel, float]], coefficients: np.ndarray):
-        self.parts, self.coefficients = parts, coefficients
-
-    def add(self, df: DataFrame, out: str) -> DataFrame:
-        if not self.parts:
-            return df.withColumn(out, F.lit(0.0))
-        names = [f"__part{i}" for i in range(len(self.parts))]
-        for (model, _), name in zip(self.parts, names):
-            df = model.copy({model.predictionCol: name}).transform(df)
-        total = F.col(names[0]) * self.parts[0][1]
-        for (_, weight), name in zip(self.parts[1:], names[1:]):
-            total = total + F.col(name) * weight
-        return df.withColumn(out, total).drop(*names)
-
-    def toward(self, model: LinearRegressionModel, step: float) -> LinearMargin:
-        """The point a ``step`` of the way from here to ``model``."""
-        kept = [(m, w * (1 - step)) for m, w in self.parts] if step < 1 else []
-        mixed = (1 - step) * self.coefficients + step * model.coefficients.toArray()
-        return LinearMargin([*kept, (model, step)], mixed)
-
-
-def svm_margin(
-    train: DataFrame, features: str, sizes: dict[int, int], penalty: float = 1.0, rounds: int = 30, tolerance: float = 1e-4
+def _wide_margin(
+    train: DataFrame, features: str, sizes: dict[int, int], width: int, penalty: float, rounds: int, tolerance: float
 ) -> LinearMargin:
-    """Linear SVM with squared hinge loss: minimizes 1/2 |w|^2 + penalty * sum max(0, 1 - y f(x))^2.
-
-    On the rows inside the margin the loss is (y - f(x))^2, so a Newton step is a ridge
-    regression on those rows. A handful of passes replaces the hundreds that first-order steps
-    need. The step length is chosen from one aggregation that evaluates several at once. Up to
-    ``NORMAL_WIDTH`` features a step solves the normal equations; wider ones are solved iteratively.
-    A fit that still improves after ``rounds`` steps warns.
-
-    Unlike in libraries that add a constant feature, the intercept is not penalized.
-    """
-    one = train.select(features).first()
-    wide = one is not None and len(one[0]) > NORMAL_WIDTH
-    solver = {"solver": "l-bfgs", "maxIter": 1000, "tol": 1e-10} if wide else {"solver": "normal"}
+    """``svm_margin`` for more than ``NORMAL_WIDTH`` features: ridge regressions are solved iteratively."""
     signed = train.select(features, (2 * F.col("label") - 1).cast("double").alias("__y"))
     rows, balance = sum(sizes.values()), sizes.get(1, 0) - sizes.get(0, 0)
     objective = penalty * rows
-    current = LinearMargin([], 0.0)
+    current = LinearMargin(features, np.zeros(width), 0.0)
     for _ in range(rounds):
         spread = math.sqrt(max(0.0, 1 - (balance / rows) ** 2)) if rows else 0.0
         if spread == 0:
@@ -121,13 +82,14 @@ def svm_margin(
         near = current.add(signed, "__f").filter(F.col("__y") * F.col("__f") < 1)
         # Spark divides the penalty by the standard deviation of the target.
         ridge = LinearRegression(
-            **solver, regParam=spread / (2 * penalty * rows), elasticNetParam=0.0, standardization=False,
+            solver="l-bfgs", maxIter=1000, tol=1e-10, regParam=spread / (2 * penalty * rows), elasticNetParam=0.0, standardization=False,
             featuresCol=features, labelCol="__y",
         ).fit(near.select(features, "__y"))
-        moved = LinearMargin([(ridge, 1.0)], ridge.coefficients.toArray()).add(current.add(signed, "__f"), "__g")
+        end = LinearMargin(features, ridge.coefficients.toArray(), float(ridge.intercept))
+        moved = signed.withColumn("__m", margins_of([current, end]))
         sums = []
         for i, step in enumerate(STEPS):
-            slack = 1 - F.col("__y") * ((1 - step) * F.col("__f") + step * F.col("__g"))
+            slack = 1 - F.col("__y") * ((1 - step) * F.get("__m", F.lit(0)) + step * F.get("__m", F.lit(1)))
             inside = F.when(slack > 0, 1.0).otherwise(0.0)
             sums += [
                 F.sum(inside * slack * slack).alias(f"loss{i}"),
@@ -135,7 +97,12 @@ def svm_margin(
                 F.sum(inside * F.col("__y")).alias(f"balance{i}"),
             ]
         found = moved.agg(*sums).first()
-        options = [current.toward(ridge, step) for step in STEPS]
+        options = [
+            LinearMargin(
+                features, (1 - s) * current.coefficients + s * end.coefficients, (1 - s) * current.intercept + s * end.intercept
+            )
+            for s in STEPS
+        ]
         values = [
             0.5 * float(np.dot(o.coefficients, o.coefficients)) + penalty * found[f"loss{i}"] for i, o in enumerate(options)
         ]
@@ -148,10 +115,39 @@ def svm_margin(
         if gain <= tolerance * objective:
             break
     else:
-        warnings.warn(f"the linear SVM still improves after {rounds} steps", stacklevel=2)
+        warnings.warn(f"the linear SVM still improves after {rounds} steps", stacklevel=3)
     return current
 
 
+def _width(train: DataFrame, features: str) -> int:
+    one = train.select(features).first()
+    return 0 if one is None else len(one[0])
+
+
+def svm_margin(
+    train: DataFrame, features: str, sizes: dict[int, int], penalty: float = 1.0, rounds: int = 30, tolerance: float = 1e-4
+) -> LinearMargin:
+    """Linear SVM with squared hinge loss: minimizes 1/2 |w|^2 + penalty * sum max(0, 1 - y f(x))^2.
+
+    On the rows inside the margin the loss is (y - f(x))^2, so a Newton step is a ridge
+    regression on those rows. A handful of passes replaces the hundreds that first-order steps
+    need. The step length is chosen from one aggregation that evaluates several at once. Up to
+    ``NORMAL_WIDTH`` features a step solves the normal equations (see ``margins``); wider ones are solved
+    iteratively. A fit that still improves after ``rounds`` steps warns.
+
+    Unlike in libraries that add a constant feature, the intercept is not penalized.
+    """
+    width = _width(train, features)
+    if width > NORMAL_WIDTH:
+        return _wide_margin(train, features, sizes, width, penalty, rounds, tolerance)
+    passes = Passes(train, features, F.lit(0), width)
+    try:
+        (w,) = svm_weights(passes, 1, [-1], penalty, rounds, tolerance)
+    finally:
+        passes.close()
+    return LinearMargin(features, w[:-1], float(w[-1]))
+
+
 def fit_svm(train: DataFrame, features: str) -> Scorer:
     """Predictions by the sign of the margin; ``score`` is the margin."""
     margin = svm_margin(train, features, class_sizes(train))
@@ -173,15 +169,34 @@ def fit_calibrated_svm(
     sizes = {(r["__fold"], r["label"]): r["n"] for r in counts}
     total = {c: sum(n for (_, label), n in sizes.items() if label == c) for c in (0, 1)}
 
-    def one(f: int) -> tuple[LinearMargin, float, float] | None:
-        held = {c: sizes.get((f, c), 0) for c in (0, 1)}
-        rest = {c: total[c] - held[c] for c in (0, 1)}
-        if min(rest.values()) == 0 or sum(held.values()) == 0:
-            return None
-        margin = svm_margin(parted.filter(F.col("__fold") != f), features, rest)
-        target = F.when(F.col("label") == 1, (held[1] + 1) / (held[1] + 2)).otherwise(1 / (held[0] + 2))
-        soft = margin.add(parted.filter(F.col("__fold") == f), "__m").select(
-            array_to_vector(F.array("__m")).alias("m"),
+    held = {f: {c: sizes.get((f, c), 0) for c in (0, 1)} for f in range(folds)}
+    rest = {f: {c: total[c] - held[f][c] for c in (0, 1)} for f in range(folds)}
+    kept = [f for f in range(folds) if min(rest[f].values()) > 0 and sum(held[f].values()) > 0]
+    if not kept:
+        raise ValueError("both classes are needed in the training part of at least one fold")
+    width = _width(train, features)
+    spark = train.sparkSession
+    if width > NORMAL_WIDTH:
+        fits = [
+            lambda f=f: _wide_margin(parted.filter(F.col("__fold") != f), features, rest[f], width, 1.0, 30, 1e-4) for f in kept
+        ]
+        margins = in_parallel(spark, fits, threads)
+        scored = parted.withColumn("__m", margins_of(margins))
+        picked = F.get("__m", F.array_position(F.array(*[F.lit(f) for f in kept]), F.col("__fold")).cast("int") - 1)
+        rows = written(scored.select(F.col("__fold").alias("fold"), "label", picked.alias("m")), "margins")
+    else:
+        passes = Passes(parted, features, F.col("__fold"), width)
+        try:
+            weights = svm_weights(passes, folds, kept, 1.0, 30, 1e-4)
+            rows = written(passes.held_out(dict(zip(kept, weights))), "margins")
+        finally:
+            passes.close()
+        margins = [LinearMargin(features, w[:-1], float(w[-1])) for w in weights]
+
+    def calibrated(f: int) -> tuple[float, float]:
+        target = F.when(F.col("label") == 1, (held[f][1] + 1) / (held[f][1] + 2)).otherwise(1 / (held[f][0] + 2))
+        soft = rows.filter(F.col("fold") == f).select(
+            array_to_vector(F.array("m")).alias("m"),
             F.inline(
                 F.array(
                     F.struct(F.lit(1.0).alias("y"), target.alias("w")),
@@ -190,19 +205,15 @@ def fit_calibrated_svm(
             ),
         )
         curve = LogisticRegression(featuresCol="m", labelCol="y", weightCol="w", regParam=0.0, maxIter=100).fit(soft)
-        return margin, float(curve.coefficients[0]), float(curve.intercept)
+        return float(curve.coefficients[0]), float(curve.intercept)
 
-    jobs = [lambda f=f: one(f) for f in range(folds)]
-    fitted = [m for m in in_parallel(train.sparkSession, jobs, threads) if m]
-    if not fitted:
-        raise ValueError("both classes are needed in the training part of at least one fold")
+    curves = in_parallel(spark, [lambda f=f: calibrated(f) for f in kept], threads)
 
     def score(df: DataFrame) -> DataFrame:
         mean = F.lit(0.0)
-        for i, (margin, slope, intercept) in enumerate(fitted):
-            df = margin.add(df, f"__m{i}")
-            mean = mean + 1 / (1 + F.exp(-(F.col(f"__m{i}") * slope + intercept)))
-        out = df.withColumn("score", mean / len(fitted)).drop(*[f"__m{i}" for i in range(len(fitted))])
+        for i, (slope, intercept) in enumerate(curves):
+            mean = mean + 1 / (1 + F.exp(-(F.get("__m", F.lit(i)) * slope + intercept)))
+        out = df.withColumn("__m", margins_of(margins)).withColumn("score", mean / len(curves)).drop("__m")
         return out.withColumn("y_pred", (F.col("score") > 0.5).cast("int"))
 
     return score
