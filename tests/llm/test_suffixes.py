@@ -1,7 +1,13 @@
 """Removed bytes against a search for every window."""
 
+import tracemalloc
+
+import numpy as np
+import pandas as pd
 import pytest
 
+from tidemark.llm import suffixes as S
+from tidemark.llm.exchange import pack, unpack
 from tidemark.llm.suffixes import remove_repeats
 
 
@@ -48,3 +54,22 @@ def test_empty_table(empty):
 def test_too_short_windows(edge):
     with pytest.raises(ValueError):
         remove_repeats(edge, 20)
+
+
+def test_answers_need_little_memory_beside_their_requests(monkeypatch):
+    rng, rows, n = np.random.default_rng(2), [], 300_000
+    for batch in range(10):
+        one, two = rng.integers(0, n, n // 10) * 12_000, rng.integers(0, 3, n // 10)
+        order = np.lexsort((two, one))
+        row = {"tails": one[order].astype(np.uint32).tobytes(), "second": two[order].astype(np.uint64).tobytes()}
+        rows.append({"range": 1, "batch": batch} | row | {"ids": pack(rng.integers(0, 99, n // 10))})
+    part = pd.DataFrame(rows)
+    whole = S.answer_pairs(2)(part)
+    monkeypatch.setattr(S, "SORTED_KEYS", 20_000, raising=False)
+    tracemalloc.start()
+    found = S.answer_pairs(2)(part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 * n
+    for column, kind in (("result", np.int64), ("differs", np.uint8)):
+        assert all((unpack(a, kind) == unpack(b, kind)).all() for a, b in zip(whole[column], found[column]))

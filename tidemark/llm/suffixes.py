@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch
+from tidemark.llm.common import Scratch, release
 from tidemark.llm.exchange import pack, range_bits, ranges_of, tails, totals, unpack
 from tidemark.llm.shingles import mixed
 
@@ -41,6 +41,8 @@ LENGTH = 50
 GRAM = 16
 BLOCK_BYTES = 3_000_000
 NULL_KEY = (1 << 63) - 1
+# Requests of a hash range that are sorted at a time.
+SORTED_KEYS = 500_000
 
 _RANDOM = np.random.default_rng(50)
 _BYTE = _RANDOM.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
@@ -278,27 +280,49 @@ def answer_first(part: pd.DataFrame) -> pd.DataFrame:
 
 
 def answer_pairs(step: int):
+    """Smallest document of each (first, second) digit, and whether a first digit has several second ones.
+
+    Requests are ascending by first digit, so a range is answered in slices of that digit: besides the requests and
+    their answers only one slice is in memory, however many windows of a range are open.
+    """
+
     def answer(part: pd.DataFrame) -> pd.DataFrame:
         one = [np.frombuffer(t, np.uint32) for t in part["tails"]]
-        two = np.concatenate([np.frombuffer(t, np.uint64) for t in part["second"]])
-        ids = np.concatenate([unpack(i, np.int64) for i in part["ids"]])
-        keys = np.concatenate(one)
-        order = np.lexsort((two, keys))
-        k, s = keys[order], two[order]
-        new_key = np.ones(len(k), bool)
-        new_key[1:] = k[1:] != k[:-1]
-        new_pair = new_key.copy()
-        new_pair[1:] |= s[1:] != s[:-1]
-        pair, key = np.cumsum(new_pair) - 1, np.cumsum(new_key) - 1
-        smallest = np.minimum.reduceat(ids[order], np.flatnonzero(new_pair))[pair]
-        variety = np.bincount(key[new_pair])[key] > 1
-        result, differs = np.empty_like(smallest), np.empty(len(k), np.uint8)
-        result[order], differs[order] = smallest, variety
-        cuts = np.cumsum([len(x) for x in one])[:-1]
-        return pd.DataFrame({
+        two = [np.frombuffer(t, np.uint64) for t in part["second"]]
+        smallest = [unpack(i, np.int64).copy() for i in part["ids"]]  # ids, until they are answered
+        differs = [np.empty(len(t), np.uint8) for t in one]
+        slices = max(1, -(-sum(map(len, one)) // SORTED_KEYS))
+        edges = np.arange(1, slices, dtype=np.uint64) * np.uint64(2**32) // np.uint64(slices)
+        borders = [[0, *np.searchsorted(t, edges).tolist(), len(t)] for t in one]
+        for k in range(slices):
+            spans = [slice(b[k], b[k + 1]) for b in borders]
+            keys = np.concatenate([t[s] for t, s in zip(one, spans)])
+            if not len(keys):
+                continue
+            second = np.concatenate([t[s] for t, s in zip(two, spans)])
+            order = np.lexsort((second, keys))
+            sorted_keys, second = keys[order], second[order]
+            new_key = np.ones(len(keys), bool)
+            new_key[1:] = sorted_keys[1:] != sorted_keys[:-1]
+            new_pair = new_key.copy()
+            new_pair[1:] |= second[1:] != second[:-1]
+            pair, key = np.cumsum(new_pair) - 1, np.cumsum(new_key) - 1
+            ids = np.concatenate([i[s] for i, s in zip(smallest, spans)])
+            found, varied = np.empty_like(ids), np.empty(len(ids), np.uint8)
+            found[order] = np.minimum.reduceat(ids[order], np.flatnonzero(new_pair))[pair]
+            varied[order] = (np.bincount(key[new_pair]) > 1)[key]
+            start = 0
+            for i, d, s in zip(smallest, differs, spans):
+                stop = start + s.stop - s.start
+                i[s], d[s], start = found[start:stop], varied[start:stop], stop
+        out = pd.DataFrame({
             "step": step, "batch": part["batch"], "range": part["range"],
-            "result": [pack(x) for x in np.split(result, cuts)], "differs": [pack(x) for x in np.split(differs, cuts)],
+            "result": [pack(x) for x in smallest], "differs": [pack(x) for x in differs],
         })
+        del one, two, smallest, differs
+        if slices > 1:
+            release()
+        return out
 
     return answer
 
@@ -320,7 +344,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def with_answers(answers: DataFrame, make, schema: str) -> DataFrame:
         def run(part: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-            return make(Block(part.iloc[0], found, length)) if len(part) else make(None)
+            try:
+                return make(Block(part.iloc[0], found, length)) if len(part) else make(None)
+            finally:
+                release()
 
         return blocks.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(run, schema)
 
