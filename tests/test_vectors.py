@@ -54,6 +54,31 @@ def test_means_of_held_and_of_shuffled_vectors(spark, monkeypatch, held):
         assert got[k] == pytest.approx(np.mean(known, axis=0) if known else [0.0] * 3, abs=1e-6)
 
 
+def test_rounds_give_the_same_vectors_and_means(spark, monkeypatch):
+    docs = texts(spark)
+    counts = docs.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).first()[0]
+    own, frequent = docs.filter("size(tokens) > 0"), V.most_frequent
+    monkeypatch.setattr(V, "most_frequent", lambda terms, *by: frequent(terms, *by, limit=4))
+    monkeypatch.setattr(W, "RANGE_PAIRS", 500)
+    found = []
+    for pairs, room in ((10**9, 10**9), (1000, 2000)):
+        monkeypatch.setattr(W, "ROUND_PAIRS", pairs)
+        monkeypatch.setattr(V, "ROUND_BYTES", room)
+        hot = W.frequent_words(counts, total, 64)
+        vectors = W.summed_contexts(own, {"t": ("c0", "c1", "c2")}, 3, 64, total, hot).select("word", "vector")
+        means = V.pool_vectors(document_terms(docs, min_length=1), vectors, 64)
+        found.append(({r["word"]: r["vector"] for r in vectors.collect()}, {r["doc_id"]: r["vector"] for r in means.collect()}))
+    for one, other in zip(*found):
+        assert one.keys() == other.keys() and all(one[k] == pytest.approx(other[k], abs=1e-6) for k in one)
+
+
+def test_packed_numbers_come_back():
+    numbers = np.array([0, 1, -5, 70_000, 2**31 - 1])
+    assert W.grown(W.shrunk(numbers), 5).tolist() == numbers.tolist() and W.grown(W.shrunk(numbers[:0]), 0).tolist() == []
+    assert len(W.shrunk(np.ones(10_000, np.int64))) < 200
+
+
 def test_short_lists_move_one_array_per_document(spark, monkeypatch):
     rows = [(1, ["a", "b", "a", "c"]), (2, []), (3, None), (4, ["x", None, "a"]), (4, ["y", "z"]), (None, ["a", "q"])]
     docs = spark.createDataFrame(rows, "doc_id bigint, tokens array<string>")

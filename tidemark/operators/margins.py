@@ -21,6 +21,8 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import collected, tidy
+
 # Step lengths tried along a Newton direction.
 STEPS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01)
 # Rows of a block and rows that are multiplied at a time; sums that are added up by one task.
@@ -200,7 +202,8 @@ class Passes:
 
     def __init__(self, rows: DataFrame, features: str, fold: Column, width: int):
         self.width, self.features = width, features
-        self.blocks = packed(rows, features, fold, width).persist(StorageLevel.MEMORY_AND_DISK)
+        with tidy(rows.sparkSession):
+            self.blocks = packed(rows, features, fold, width).persist(StorageLevel.MEMORY_AND_DISK)
         self.context = rows.sparkSession.sparkContext
         self.tasks = self.blocks.rdd.getNumPartitions()
 
@@ -243,7 +246,7 @@ class Passes:
             groups = -(-groups // SUMS)
             dealt = partial.withColumn("part", F.col("part") % groups)
             partial = dealt.groupBy("model", "part").applyInPandas(lambda g: added(g, False), MESSAGE)
-        found = partial.groupBy("model").applyInPandas(lambda g: added(g, True), MESSAGE).select("model", "products").collect()
+        found = collected(partial.groupBy("model").applyInPandas(lambda g: added(g, True), MESSAGE).select("model", "products"))
         return {r["model"]: np.frombuffer(r["products"]) for r in found}
 
     def along(self, lines: dict[int, tuple[int, np.ndarray, np.ndarray]]) -> dict[int, np.ndarray]:
